@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.formatting import canonical_keys, collapse_formatting, members
 from quarry.llm.leaks import WORDS, leaked_items
 from quarry.llm.packing import fill, pack, split_documents
+from quarry.llm.secrets import find_secrets, redact_secrets
 from quarry.llm.terms import term_frequencies, vocabulary_use
 from quarry.tables import table
 
@@ -20,6 +21,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return members(canonical_keys(table(spark, d, "session_events"))).where("id <> keep_id").select("keep_id", "id")
 
 
+def _secret_fields(spark: SparkSession, d: str):
+    yield "chunks.content", table(spark, d, "chunks"), "chunk_id", "content"
+    yield "session_events.data", table(spark, d, "session_events"), "id", "data"
+
+
+def p5_secrets(spark: SparkSession, d: str) -> DataFrame:
+    parts = [find_secrets(rows, key, text).select(F.lit(field).alias("field"), "*") for field, rows, key, text in _secret_fields(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    parts = [redact_secrets(rows, key, text).select(F.lit(field).alias("field"), "*") for field, rows, key, text in _secret_fields(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_secrets(spark, d).select("field", "row_id", "start_at")
+
+
 def p7_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_frequencies(table(spark, d, "chunks"))
 
@@ -50,7 +70,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_copies, p1_found, p7_terms, p7_use, p7_found, p8_fill, p8_found, p9_leaks, p9_found)
+    for f in (p1_copies, p1_found, p5_secrets, p5_redacted, p5_found, p7_terms, p7_use, p7_found, p8_fill, p8_found, p9_leaks, p9_found)
 }
 
 _TERMS = """
