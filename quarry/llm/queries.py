@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.formatting import canonical_keys, collapse_formatting, members
 from quarry.llm.leaks import WORDS, leaked_items
 from quarry.llm.packing import fill, pack, split_documents
+from quarry.llm.pii import find_personal, redact_personal
 from quarry.llm.secrets import find_secrets, redact_secrets
 from quarry.llm.terms import term_frequencies, vocabulary_use
 from quarry.tables import table
@@ -68,9 +69,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).where(F.col("common_words") >= WORDS).select("item_id", "doc_id")
 
 
+def p10_personal(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact_personal(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_personal(spark, d).select("doc_id", "kind", "start_at")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_copies, p1_found, p5_secrets, p5_redacted, p5_found, p7_terms, p7_use, p7_found, p8_fill, p8_found, p9_leaks, p9_found)
+    for f in (p1_copies, p1_found, p5_secrets, p5_redacted, p5_found, p7_terms, p7_use, p7_found, p8_fill, p8_found, p9_leaks, p9_found, p10_personal, p10_redacted, p10_found)
 }
 
 _TERMS = """
