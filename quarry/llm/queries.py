@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.formatting import canonical_keys, collapse_formatting, members
 from quarry.llm.leaks import WORDS, leaked_items
+from quarry.llm.markup import clean_markup, find_markup
 from quarry.llm.packing import fill, pack, split_documents
 from quarry.llm.pii import find_personal, redact_personal
 from quarry.llm.secrets import find_secrets, redact_secrets
@@ -22,6 +23,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return members(canonical_keys(table(spark, d, "session_events"))).where("id <> keep_id").select("keep_id", "id")
 
 
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean_markup(table(spark, d, "chunks"), table(spark, d, "sources"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_markup(table(spark, d, "chunks"), table(spark, d, "sources"))
+
+
 def _secret_fields(spark: SparkSession, d: str):
     yield "chunks.content", table(spark, d, "chunks"), "chunk_id", "content"
     yield "session_events.data", table(spark, d, "session_events"), "id", "data"
@@ -83,7 +92,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_copies, p1_found, p5_secrets, p5_redacted, p5_found, p7_terms, p7_use, p7_found, p8_fill, p8_found, p9_leaks, p9_found, p10_personal, p10_redacted, p10_found)
+    for f in (p1_copies, p1_found, p2_clean, p2_found, p5_secrets, p5_redacted, p5_found, p7_terms, p7_use, p7_found, p8_fill, p8_found, p9_leaks, p9_found, p10_personal, p10_redacted, p10_found)
 }
 
 _TERMS = """
