@@ -1,0 +1,113 @@
+"""Events out of commands and messages, as Columns: the rules are regular, so nothing leaves the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Operations of a version-control command, in the order they are looked for.
+GIT_OPERATIONS = (("checkout", "branch"), ("commit", "commit"), ("merge", "merge"), ("rebase", "rebase"), ("stash", "stash"), ("push", "push"), ("pull", "pull"), ("log", "log"), ("diff", "diff"), ("status", "status"), ("branch", "branch"), ("reset", "reset"), ("add", "add"), ("cherry-pick", "cherry-pick"), ("tag", "tag"), ("fetch", "fetch"), ("clone", "clone"), ("worktree", "worktree"))
+# Commands that change the environment.
+ENVIRONMENT = r"\bsource\s+\S*activate\b|\bexport\s+\w+=|\bnvm\s+use\b|\bpyenv\s+(?:shell|local|global)\b|\bconda\s+activate\b|\brbenv\s+(?:shell|local|global)\b|\bnpm\s+(?:install|ci)\b|\bpip\s+install\b|\bbun\s+install\b|\b(?:yarn|pnpm)\s+(?:add|install)\b|\bcargo\s+(?:install|add)\b|\bgo\s+(?:install|get)\b|\b(?:rustup|asdf|volta)\b|\bdeno\s+install\b"
+# Classes of errors with what their text has, first match wins.
+ERRORS = (
+    ("file_not_found", r"enoent|no such file|cannot find module|filenotfounderror"),
+    ("command_not_found", r"command not found|: not found|\bexit(?:\s+code)?\s*[:=]?\s*127\b"),
+    ("edit_match_failed", r"old_string not found|string to replace not found"),
+    ("git_conflict", r"^conflict|merge conflict|conflict.*(?:merge|rebase|git)|(?:merge|rebase|git).*conflict"),
+    ("timeout", r"etimedout|timed out|timeout|deadline exceeded"),
+    ("permission_denied", r"eacces|permission denied|operation not permitted|eperm"),
+    ("syntax_error", r"syntaxerror|\berror\s+ts\d{3,5}\b|unexpected token|unexpected end of|parse error"),
+    ("test_failed", r"tests? failed|\bfail(?:ed)?\b.*\btest\b|\b\d+\s+tests?\s+failed\b|assertion|(?:^|\n)fail\s"),
+    ("runtime_error", r"typeerror|referenceerror|rangeerror|uncaught exception|traceback \(most recent call last\)|nullpointerexception"),
+)
+_JS = ("npm", "pnpm", "yarn", "bun")
+_QUESTION, _CLAUSE = r"[?？؟¿]", r"[,;，；、،]"
+
+
+def working_directory(command: str) -> Column:
+    """The directory a command changes to, unquoted; empty if none."""
+    hit = F.regexp_extract(command, r"\bcd\s+(?:\"([^\"]+)\"|'([^']+)'|(\S+))", 0)
+    return F.regexp_replace(F.regexp_replace(hit, r"^cd\s+", ""), r"^[\"']|[\"']$", "")
+
+
+def git_operation(command: str) -> Column:
+    """The operation of a git command, flags between allowed; null if none."""
+    parsed = F.regexp_extract(command, r"\bgit(?:\s+-\S+(?:\s+[^\s-]\S*)?)*?\s+([a-z][a-z-]*)\b", 1)
+    known = F.coalesce(*[F.when(parsed == verb, op) for verb, op in GIT_OPERATIONS])
+    return F.coalesce(known, *[F.when(F.rlike(command, F.lit(rf"\bgit\s+{verb}\b")), op) for verb, op in GIT_OPERATIONS])
+
+
+def commit_message(command: str) -> Column:
+    """The message given to a commit on the command line; empty if none."""
+    hit = F.regexp_extract(command, r"\bgit\b.*\bcommit\b.*?\s(?:-[a-z]*m|--message)(?:\s+|=)(\"[^\"]*\"|'[^']*'|\S+)", 1)
+    return F.regexp_replace(hit, r"^[\"']|[\"']$", "")
+
+
+def environment_command(command: str) -> Column:
+    """The command with exported values masked if it changes the environment, else null."""
+    return F.when(F.rlike(command, F.lit(ENVIRONMENT)), F.regexp_replace(command, r"\bexport\s+(\w+)=\S*", "export $1=***"))
+
+
+def error_class(message: str) -> Column:
+    low = F.lower(message)
+    return F.coalesce(*[F.when(F.rlike(low, F.lit("(?s)" + pattern)), name) for name, pattern in ERRORS], F.lit("unknown"))
+
+
+def command_tool(command: str) -> Column:
+    """The first word after assignments and wrappers, lower case."""
+    return F.regexp_extract(F.lower(F.trim(command)), r"^(?:\w+=\S*\s+)*(?:(?:sudo|time|nice)\s+)*(\S*)", 1)
+
+
+def command_class(command: str) -> Column:
+    tool, low = command_tool(command), F.lower(command)
+
+    def says(pattern: str) -> Column:
+        return F.rlike(low, F.lit(rf"\b(?:{pattern})\b"))
+
+    js = tool.isin(*_JS)
+    return (
+        F.when(tool == "git", "git")
+        .when((js | tool.isin("pip", "pip3")) & says("install|add|ci"), "install").when((tool == "brew") & says("install"), "install")
+        .when(tool.isin("vitest", "jest", "pytest", "mocha", "playwright", "cypress") | (js & says("test")), "test")
+        .when(tool.isin("eslint", "tslint", "ruff", "flake8", "pylint") | (js & says("lint")), "lint")
+        .when(tool.isin("prettier", "black", "gofmt", "rustfmt") | (js & says("format|fmt")), "format")
+        .when(tool.isin("tsc", "webpack", "rollup", "vite", "esbuild", "make") | ((js | tool.isin("cargo", "go")) & says("build")), "build")
+        .when((js & says("run")) | tool.isin("node", "python", "python3", "deno"), "run")
+        .otherwise("other")
+    )
+
+
+def duration_bucket(ms: Column) -> Column:
+    ms = F.coalesce(ms, F.lit(0))
+    return F.when(ms < 1_000, "fast").when(ms < 10_000, "medium").when(ms < 60_000, "slow").otherwise("timeout")
+
+
+def looks_like_decision(message: str) -> Column:
+    t = F.trim(message)
+    return F.rlike(t, F.lit(_CLAUSE)) & F.rlike(t, F.lit(r"\p{L}")) & ~F.rlike(t, F.lit(_QUESTION)) & F.length(t).between(15, 500)
+
+
+def intent(message: str) -> Column:
+    """investigate for a question, implement for a short imperative, else null."""
+    t = F.trim(message)
+    return F.when(F.rlike(t, F.lit(_QUESTION)), "investigate").when((F.length(t) > 0) & (F.length(t) < 60) & F.rlike(t, F.lit(r"\p{L}")), "implement")
+
+
+def message_features(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Letters, words, capitals' share, files, questions, fences, URLs and distinct words of each message."""
+    t = F.col(text)
+    letters = F.regexp_count(t, F.lit(r"\p{L}"))
+    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return docs.where(F.col(key).isNotNull() & t.isNotNull()).select(
+        F.col(key).alias("key"), letters.cast("long").alias("letters"), F.size(words).cast("long").alias("words"), F.when(letters > 0, F.round(F.regexp_count(t, F.lit(r"\p{Lu}")) / letters, 6)).otherwise(0.0).alias("upper"),
+        F.regexp_count(t, F.lit(r"[\w-]+\.(?:py|ts|js|go|rs|md|json|yaml|sh|sql)\b")).cast("long").alias("files"), F.regexp_count(t, F.lit(_QUESTION)).cast("long").alias("questions"),
+        F.floor(F.regexp_count(t, F.lit("```")) / 2).alias("fences"), F.regexp_count(t, F.lit(r"https?://")).cast("long").alias("urls"), F.size(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).cast("long").alias("distinct_words"),
+    )
+
+
+def references(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, host, n: hosts of the URLs in each text, this machine's left out."""
+    url = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"https?://([^\s/?#)\]>\"']+)"), F.lit(1)))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), url.alias("host")).withColumn("host", F.lower("host"))
+    return rows.where("not host rlike '^(localhost|127[.]0[.]0[.]1)'").groupBy("key", "host").agg(F.count("*").alias("n"))
