@@ -145,7 +145,16 @@ def canonical(data: str) -> str:
                 except (ValueError, RecursionError):
                     pass
     elif ":" in data or "=" in data:
-        marked, n = _PAIR.subn("\\1\x00", data.strip())
+        n, last = 0, -1
+
+        def mark(m: re.Match) -> str:
+            nonlocal n, last
+            if m.start() == last:  # what follows a name and its sign is the value, whatever it looks like
+                return m[0]
+            n, last = n + 1, m.end()
+            return m[1] + "\x00"
+
+        marked = _PAIR.sub(mark, data.strip())
         if n > 1:
             tokens = [t for t in (x.lstrip("-*>`'\"“”‘’«»()[]{}.,;:!?|…—–#&+~") for x in marked.split()) if t and bare(t)]
             if len(tokens) == n and all(map(_TOKEN.match, tokens)):

@@ -380,9 +380,6 @@ def clean(leaves: Leaves, roles: np.ndarray) -> str:
             text = re.sub(r"^\s*#{1,6}\s+|^\s*=+\s*|\s*=+\s*$|\\(?:part|chapter|(?:sub)*section|paragraph)\*?\{([^{}]*)\}", r"\1", line)
             out.append("# " + _strip(text).strip())
             continue
-        if name == "formula" or "latex:display" in tags:
-            out.append(line.strip())
-            continue
         if "html:pre" in tags or (path and "pre" in path):
             out += ["```", html.unescape(_TAG.sub("", line)).strip(), "```"]
             continue
@@ -390,6 +387,9 @@ def clean(leaves: Leaves, roles: np.ndarray) -> str:
         if item and (name == "list" or tags):
             out.append("- " + _strip(line[item.end() :]).strip())
             continue
+        if name == "formula" or "latex:display" in tags:
+            out.append(line.strip())
+            continue
         text = re.sub(r"^ {0,3}>\s?|^:+\s*|^;\s*", "", line) if tags else line
         if name == "table" or {"markdown:table", "wiki:table"} & tags:
             text = " | ".join(c.strip() for c in re.split(r"\|\|?|!!", text.strip().strip("|!")) if c.strip())

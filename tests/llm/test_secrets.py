@@ -1,0 +1,40 @@
+import pytest
+
+from quarry.llm.secrets import Finder, find_secrets, masked, redact_secrets
+
+YES = [
+    ('password = "', "hT7#kLp2!vQ", '"'), ("db_password=", "x9Kd82mQpZ", ""), ("  \"apiKey\": \"", "6cd5a9a671c994c1952b5e393dda085a", "\","), ("curl -H 'Authorization: Bearer ", "q9vJ1l7WFyqqAqQN0x", "' https://h/"),
+    ("url: redis://:", "7kQa8CJrlY9Xq", "@cache:6379/0"), ("git clone https://bob:", "9UAty7xp_DFStO1", "@git.test/x.git"), ("export X_TOKEN=", "gYP5hXTziayd5yXdywatBFGc", ""), ("mysql --password='", "correct-horse-battery-staple", "' db"),
+    ("curl -u bob:", "6h3vtO0bs3", " https://x"), ("fetch(`https://h/p?sig=", "eHYwrH-dCj9VZ3aQ", "&n=49`)"), ("session.auth = ('bob', '", "n3mut0uskLRCY", "')"), ("login as bob with passphrase `", "a1b2-c3d4-e5f6", "`"), ("run:1 passwd:", "Dafonou.krikour35#", " mode:env"),
+    ("key = \"\"\"", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", '"""'), ("process.env.DB_PASS ??= '", "br0br0ulWV9R", "';"), ("P.S. the Ü password is \"", "v0ugixr0ld9", "\""),
+]
+NO = ["password: null", "password: ${DB_PASSWORD}", 'API_KEY = os.environ["X_KEY"]', "const apiKey = process.env.KEY;", "token = get_token(scope='x')", "max_tokens = 75", "token_ttl = 4", 'API_KEY = "<your-api-key>"', "echo 'token: xxxxxxxxxxxxxxxx'", "db_password=%(PW)s",
+      '"password": "{{ vault_password }}"', "api-key: !vault a/api-key", "commit 1fd107cf95b6a52964241c62394592b9d9cca266", "integrity: sha512-ab12CD34ef56GH78ij90KL12mn34OP56", "-----BEGIN PUBLIC KEY-----\nAAAA", "The token of the parser drops the key.", "secret_name = 'app-creds'", "run:ba631e04c8 token:redacted", "", "Authorization: Bearer $TOKEN"]
+
+
+@pytest.fixture(scope="module")
+def finder():
+    return Finder()
+
+
+@pytest.mark.parametrize("before,secret,after", YES)
+def test_found(finder, before, secret, after):
+    text = "Ünï \U0001f600\n" + before + secret + after
+    assert [text[a:b] for a, b, _ in finder.find(text)] == [secret]
+    hidden = masked(text, finder.find(text))
+    assert len(hidden) == len(text) and hidden.count("\n") == text.count("\n") and hidden.replace("*", "") == text.replace(secret, "\n" * secret.count("\n"))
+
+
+@pytest.mark.parametrize("text", NO)
+def test_not_found(finder, text):
+    assert finder.find(text) == []
+
+
+def test_rows(spark):
+    long = "x = 1\n" * 60_000 + 'password = "hT7#kLp2!vQ"'
+    rows = [(1, 'password = "hT7#kLp2!vQ"', "c"), (1, 'password = "hT7#kLp2!vQ"', "c"), (2, None, "c"), (None, "password=hT7#kLp2!vQ", "c"), (3, "", "c"), (4, long, "c")]
+    df = spark.createDataFrame(rows, "id long, data string, row_id string")
+    assert sorted((r.row_id, r.start_at) for r in find_secrets(df, "id", "data").collect()) == [(1, 12), (4, len(long) - 12)]
+    red = {r.row_id: r for r in redact_secrets(df, "id", "data").collect()}
+    assert red[1].text == 'password = "***********"' and red[3].text == "" and red[3].secrets == 0 and len(red) == 3
+    assert find_secrets(df.limit(0), "id", "data").count() == 0
