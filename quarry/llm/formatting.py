@@ -16,7 +16,8 @@ from quarry.session import written
 
 #: ASCII characters that are no letter or digit.
 _ASCII_DROP = bytes(b for b in range(128) if not chr(b).isalnum())
-_PAIR = re.compile(r"(?:^|(?<=[\s,;|]))([^\W\d][\w.\-]*)\s*[:=]\s*")
+_PAIR = re.compile(r"(?:^|(?<=[\s,;|]))[\"'`“]?([^\W\d][\w.\-]*)[\"'`”]?\s*[:=]\s*")
+_WRAP = re.compile(r"^[^\w]+")
 _TOKEN = re.compile(r"[^\W\d][\w.\-]*\x00")
 _LEXEME = re.compile(r"[{}\[\]:,]|[^{}\[\]:,\s\"'`]+")
 _QUOTES = "\"'`"
@@ -154,7 +155,7 @@ def canonical(data: str) -> str:
             n, last = n + 1, m.end()
             return m[1] + "\x00"
 
-        marked = _PAIR.sub(mark, data.strip())
+        marked = _PAIR.sub(mark, _WRAP.sub("", data))
         if n > 1:
             tokens = [t for t in (x.lstrip("-*>`'\"“”‘’«»()[]{}.,;:!?|…—–#&+~") for x in marked.split()) if t and bare(t)]
             if len(tokens) == n and all(map(_TOKEN.match, tokens)):

@@ -13,7 +13,7 @@ def test_canonical_pairs():
     same = [
         ("a:1 b:2", "b=2; a = 1"), ("a:1 b:2", "A: 1\nB: 2"), ("a:1 b:2", "b:2 | a:1"), ("Ab c", "ab\u2009C!"), ("x_y", "`X y`"), ("src/a.go", "(src\\a.go)"),
         ('{"a":1,"b":{"c":[1,2],"d":"x y"}}', "{'B' : {'D' : 'X  y' ,'c' : ['1' ,2]} ,'a' : 1.}"), ('{"a":true}', '{\n "A": TRUE\n}'), ("STRASSE", "straße"), ("e\u0301", "\u00e9"), ("", "..."), ('{"n":"it\'s {x}"}', '{"n": "its x"}'),
-        ("auth:k0== lines:7", "lines: 7, auth: k0=="),
+        ("auth:k0== lines:7", "lines: 7, auth: k0=="), ("a:1 b:2", "“b: 2, a: 1”"), ("a:1 b:2", '> "b": "2", "a": "1".'), ("a:1 b:2", " - b=2 - a=1"),
     ]
     differ = [("a:1 b:2", "a:2 b:1"), ('{"t":["a","b"]}', '{"t":["b","a"]}'), ('{"from":"a","to":"b"}', '{"from":"b","to":"a"}'), ("a b", "b a"), ("a:1 b:2 c", "b:2 a:1 c"), ("see x:1 y:2", "see y:2 x:1")]
     for a, b in same:
