@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 #: Bytes of a chunk, of a title and of a source; chunks of a source.
 CAP, TITLE_CAP, SOURCE_CAP, MOST_CHUNKS = 4096, 256, 8 * 1024 * 1024, 4096
 #: Plain text: sections by blank lines if so many, each under so many bytes; else groups of lines with an overlap.
@@ -277,7 +279,7 @@ def chunk_documents(docs: DataFrame, label: str = "label", text: str = "text", k
     A document beyond the bounds gives one row with an error and no chunk. Null label or text: left out; null kind: plain.
     """
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string"), F.col(text), F.coalesce(F.col(kind), F.lit("plain")))
-    return rows.mapInArrow(_runner(cap), "label string, chunk_no int, title string, content string, content_type string, error string")
+    return spread(rows).mapInArrow(_runner(cap), "label string, chunk_no int, title string, content string, content_type string, error string")
 
 
 def line_groups(docs: DataFrame, key: str, text: str, lines: int = GROUP, overlap: int = OVERLAP) -> DataFrame:

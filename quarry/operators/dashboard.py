@@ -24,9 +24,14 @@ CATEGORY_TYPES = {
 }
 
 
-def clean_events(events: DataFrame) -> DataFrame:
-    """One row per record with `type` in normal form; rows delivered twice collapse."""
-    return events.where("id is not null").withColumn("type", normal_type("type")).distinct()
+def clean_events(events: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per record with `type` in normal form; rows delivered twice collapse.
+
+    columns: what the query reads (id comes always); only these are read, compared and moved.
+    """
+    kept = [c for c in events.columns if columns is None or c == "id" or c in columns]
+    rows = events.where("id is not null").select(*kept)
+    return (rows.withColumn("type", normal_type("type")) if "type" in kept else rows).distinct()
 
 
 def half_up(x: Column, digits: int = 0) -> Column:

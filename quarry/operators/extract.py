@@ -35,12 +35,13 @@ def git_operation(command: str) -> Column:
     """The operation of a git command, flags between allowed; null if none."""
     parsed = F.regexp_extract(command, r"\bgit(?:\s+-\S+(?:\s+[^\s-]\S*)?)*?\s+([a-z][a-z-]*)\b", 1)
     known = F.coalesce(*[F.when(parsed == verb, op) for verb, op in GIT_OPERATIONS])
-    return F.coalesce(known, *[F.when(F.rlike(command, F.lit(rf"\bgit\s+{verb}\b")), op) for verb, op in GIT_OPERATIONS])
+    loose = F.coalesce(known, *[F.when(F.rlike(command, F.lit(rf"\bgit\s+{verb}\b")), op) for verb, op in GIT_OPERATIONS])
+    return F.when(F.contains(command, F.lit("git")), loose)
 
 
 def commit_message(command: str) -> Column:
     """The message given to a commit on the command line; empty if none."""
-    hit = F.regexp_extract(command, r"\bgit\b.*\bcommit\b.*?\s(?:-[a-z]*m|--message)(?:\s+|=)(\"[^\"]*\"|'[^']*'|\S+)", 1)
+    hit = F.regexp_extract(F.when(F.contains(command, F.lit("commit")), F.col(command)).otherwise(""), r"\bgit\b.*\bcommit\b.*?\s(?:-[a-z]*m|--message)(?:\s+|=)(\"[^\"]*\"|'[^']*'|\S+)", 1)
     return F.regexp_replace(hit, r"^[\"']|[\"']$", "")
 
 
@@ -97,10 +98,10 @@ def intent(message: str) -> Column:
 def message_features(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Letters, words, capitals' share, files, questions, fences, URLs and distinct words of each message."""
     t = F.col(text)
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
+    letters = F.length(F.regexp_replace(t, r"\P{L}+", ""))
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     return docs.where(F.col(key).isNotNull() & t.isNotNull()).select(
-        F.col(key).alias("key"), letters.cast("long").alias("letters"), F.size(words).cast("long").alias("words"), F.when(letters > 0, F.round(F.regexp_count(t, F.lit(r"\p{Lu}")) / letters, 6)).otherwise(0.0).alias("upper"),
+        F.col(key).alias("key"), letters.cast("long").alias("letters"), F.size(words).cast("long").alias("words"), F.when(letters > 0, F.round(F.length(F.regexp_replace(t, r"\P{Lu}+", "")) / letters, 6)).otherwise(0.0).alias("upper"),
         F.regexp_count(t, F.lit(r"[\w-]+\.(?:py|ts|js|go|rs|md|json|yaml|sh|sql)\b")).cast("long").alias("files"), F.regexp_count(t, F.lit(_QUESTION)).cast("long").alias("questions"),
         F.floor(F.regexp_count(t, F.lit("```")) / 2).alias("fences"), F.regexp_count(t, F.lit(r"https?://")).cast("long").alias("urls"), F.size(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).cast("long").alias("distinct_words"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.words import STOPWORDS, most_edits, query_terms, tokens, trigram_terms
+from quarry.session import written
 
 #: Saturation and length constants of the score; weights of title and content; constant of the fusion.
 K1, B, TITLE, CONTENT, FUSION = 1.2, 0.75, 5.0, 1.0, 60
@@ -72,6 +73,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     cells = F.concat(*[cells_of(f, m, w) for m in sizes for f, w in (("t", TITLE), ("c", CONTENT))])
     exploded = own.select("chunk_id", "length", F.explode(cells).alias("x")).select("chunk_id", "length", "x.term", "x.w")
     hits = exploded.join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "length").agg(F.sum("w").alias("tf"))
+    hits = written(hits, "hits")  # read twice: for the frequencies and for the scores
     stats = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     return _ranked(hits, terms, stats, n, mean, k)
 
@@ -116,6 +118,7 @@ def trigram(queries: DataFrame, chunks: DataFrame, k: int = 10, at_once: int = T
         block = sorted(r[0] for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect())
         part = own.mapInArrow(_substrings(block), "term string, chunk_id long, length int, tf double")
         hits = part if hits is None else hits.unionByName(part)
+    hits = written(hits, "hits")
     stats = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     return _ranked(hits, terms, stats, n, mean, k)
 
@@ -252,8 +255,10 @@ def search(queries: DataFrame, chunks: DataFrame, sources: DataFrame, vocabulary
         fused = fuse(bm25(q, own, fetch), trigram(q, own, fetch), own, sources, limit)
         return rerank(fused, q, own).withColumn("layer", F.lit(layer))
 
-    first = one(queries, "rrf")
+    first = written(one(queries, "rrf"), "found")
     missed = queries.join(first.select("query_no").distinct(), "query_no", "left_anti")
+    if missed.isEmpty():
+        return first
     return first.unionByName(one(corrected_queries(missed, vocabulary), "rrf-fuzzy"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,19 @@ E = "WITH e AS (SELECT DISTINCT * REPLACE (replace(lower(trim(type)), '-', '_')
 _N = "CAST({} AS BIGINT)"
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return d.clean_events(table(spark, sf, "session_events"))
+def columns_in(sql: str) -> list[str]:
+    """The columns of session_events that a query reads, by the names in its SQL."""
+    names = set(re.findall(r"\w+", sql))
+    return [c for c in ("session_id", "type", "category", "priority", "data", "project_dir", "attribution_source", "attribution_confidence", "bytes_avoided", "bytes_returned", "source_hook", "created_at", "data_hash") if c in names]
+
+
+def _events(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    return d.clean_events(table(spark, sf, "session_events"), columns_in(sql))
 
 
 def _add(name: str, make: Callable[..., DataFrame], sql: str, *more: str) -> None:
     """A query over records (and the other tables named)."""
-    QUERIES[name] = lambda spark, sf: make(_events(spark, sf), *[table(spark, sf, t) for t in more])
+    QUERIES[name] = lambda spark, sf: make(_events(spark, sf, sql), *[table(spark, sf, t) for t in more])
     ORACLE[name] = f"{E} {sql}" if not sql.startswith(",") else E + sql
 
 

@@ -11,18 +11,21 @@ from quarry.functions.words import STOPWORDS, query_terms, vocabulary_words
 from quarry.operators import chunking, extract, state
 from quarry.operators.dashboard import clean_events
 from quarry.operators.search import unique_chunks
-from quarry.plans.dashboard import E
+from quarry.plans.dashboard import E, columns_in
 from quarry.sources import store, web
 from quarry.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: What the operators without SQL read of the records.
+STATE_COLUMNS = "session_id type data_hash category priority project_dir attribution_confidence created_at data"
 _C = "c AS (SELECT DISTINCT chunk_id, source_id, coalesce(title, '') AS title, coalesce(content, '') AS content, content_type FROM chunks WHERE chunk_id IS NOT NULL)"
 
 
 def _add(name: str, make: Callable[..., DataFrame], sql: str | None, *tables: str) -> None:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return make(*[clean_events(table(spark, d, t)) if t == "session_events" else unique_chunks(table(spark, d, t)) if t == "chunks" else table(spark, d, t) for t in tables])
+        reads = columns_in((sql or STATE_COLUMNS).removeprefix(E))
+        return make(*[clean_events(table(spark, d, t), reads) if t == "session_events" else unique_chunks(table(spark, d, t)) if t == "chunks" else table(spark, d, t) for t in tables])
 
     QUERIES[name] = query
     if sql:
@@ -57,7 +60,7 @@ _add(
 _ops = " ".join(f"WHEN regexp_matches(data, '\\bgit\\s+{v}\\b') THEN '{o}'" for v, o in extract.GIT_OPERATIONS)
 _parsed = " ".join(f"WHEN p = '{v}' THEN '{o}'" for v, o in extract.GIT_OPERATIONS)
 _add(
-    "e04_git", lambda e: e.select("id", extract.git_operation("data").alias("operation"), extract.commit_message("data").alias("message")).where("operation is not null"),
+    "e04_git", lambda e: e.where("contains(data, 'git')").select("id", extract.git_operation("data").alias("operation"), extract.commit_message("data").alias("message")).where("operation is not null"),
     E + f""", x AS (SELECT id, data, regexp_extract(data, '\\bgit(?:\\s+-\\S+(?:\\s+[^\\s-]\\S*)?)*?\\s+([a-z][a-z-]*)\\b', 1) AS p, regexp_extract(data, '\\bgit\\b.*\\bcommit\\b.*?\\s(?:-[a-z]*m|--message)(?:\\s+|=)("[^"]*"|''[^'']*''|\\S+)', 1) AS m FROM e),
     y AS (SELECT id, coalesce(CASE {_parsed} END, CASE {_ops} END) AS operation, regexp_replace(m, '^["'']|["'']$', '', 'g') AS message FROM x) SELECT * FROM y WHERE operation IS NOT NULL""",
     "session_events",

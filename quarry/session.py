@@ -49,6 +49,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input has far fewer parts, before a costly stage; inputs of many parts stay as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def bucketed(df: DataFrame, what: str, key: str, buckets: int, part: str | None = None) -> DataFrame:
     """df, run once, kept in the shared folder in `buckets` buckets by key (and in partitions by `part`).
 
