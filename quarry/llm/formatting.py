@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import written
+from quarry.session import spread, written
 
 #: ASCII characters that are no letter or digit.
 _ASCII_DROP = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -194,7 +194,7 @@ def canonical_keys(records: DataFrame, key: str = "id", kind: str = "type", data
     Written once to the shared folder, since both the counts and the members are taken from it.
     """
     rows = records.select(F.col(key).cast("long").alias("id"), F.col(kind).alias("kind"), F.col(data).alias("data")).dropna()
-    return written(rows.mapInArrow(_hashed, _KEYS).distinct(), "canonical")
+    return written(spread(rows).mapInArrow(_hashed, _KEYS).distinct(), "canonical")
 
 
 def copy_sets(keys: DataFrame) -> DataFrame:

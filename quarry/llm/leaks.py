@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 _WORD = re.compile(r"[^\W_]+")
 #: Words of a passage, edits (characters) it may differ by, and characters of items that go to the tasks at once.
 WORDS, EDITS, BLOCK_CHARS = 12, 1, 16_000_000
@@ -162,7 +164,7 @@ def leaked_items(
     known = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
     chars = known.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    corpus = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
+    corpus = spread(docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")))
     out = None
     for b in range(blocks):
         block = known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else known

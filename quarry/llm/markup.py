@@ -433,7 +433,8 @@ def _run(model: str, fields: tuple[str, ...], found: bool):
 def _texts(chunks: DataFrame, sources: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     ending = F.lower(F.regexp_extract(F.col("file_path"), r"([^./\\]+)$", 1))
     code = sources.where(ending.isin(*CODE_FILES)).select(F.col("id").alias("__source")).distinct()
-    own = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long"), F.col("source_id").alias("__source"), *fields).distinct()
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long"), F.col("source_id").alias("__source"), *fields).repartition(parts, "chunk_id").distinct()
     code = code.withColumn("__code", F.lit(True))
     if code.count() <= BROADCAST_SOURCES:
         joined = own.join(F.broadcast(code), "__source", "left")

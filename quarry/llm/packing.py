@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import written
+from quarry.session import spread, written
 
 #: The public word-punctuation tokenizer: a run of letters, digits and '_', or a run of other characters that are no white space.
 _BLANK = r"\s\p{IsWhite_Space}\x1c-\x1f"
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, containers: DataFrame, key: str = "doc_id", text: str
     )
     if len(kinds) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of containers")
-    sized = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+    sized = spread(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)).select(
         F.col(key).cast("long").alias("doc_id"), F.regexp_count(F.col(text), F.lit(TOKEN_JVM)).cast("long").alias("size")
     )
     sized = written(sized, "sizes")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.boost import Boosted
+from quarry.session import spread
 
 MODEL = str(Path(__file__).with_name("pii_model.json"))
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -269,7 +270,7 @@ def _replaced(path: str):
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).dropna()
+    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).dropna())
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 #: A vocabulary of byte pairs with ranks, one "base64 rank" a line.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern by which that public vocabulary splits text before merging.
@@ -234,7 +236,7 @@ def _scanner(tokenizer: str, redact: bool):
 
 
 def _texts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).dropna()
+    return spread(rows.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).dropna())
 
 
 def find_secrets(rows: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:

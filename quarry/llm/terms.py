@@ -115,7 +115,8 @@ def term_frequencies(
     are partitioned by hash bits to the shared folder, oversized partitions are split further by the next bits,
     and each partition is streamed through a DuckDB aggregate that spills within a fixed memory.
     """
-    unique = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).dropna().distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unique = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).dropna().repartition(parts, "__key").distinct()
     partial = unique.select("__text").mapInArrow(_partial, _PARTIAL)
     parts = _radix_partitions(partial, bits, most_rows)
     root = shared_dir(docs.sparkSession)
