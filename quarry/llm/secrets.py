@@ -36,7 +36,7 @@ _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,30}://[^\s:@/\"'`<>]{0,200}:(?P<val
 _SIGNED = re.compile(r"(?i)[?&;](?:x-[a-z]+-(?:signature|credential-secret|security-token)|sig|signature|hmac|token|access_token|api_?key|key|auth)=(?P<value>[^\s&\"'`<>)\];]{8,})")
 _PAIR = re.compile(r"(?i)\b(?:auth|credentials?|login|basic_auth)\s*[=:]\s*[(\[]\s*[\"'][^\"'\n]{0,100}[\"']\s*,\s*(?P<q>[\"'])(?P<value>[^\"'\n]{3,200})(?P=q)")
 #: "-u user:password" of a command; "login user / password"; a comment that names the next string.
-_LOGIN = re.compile(r"(?:(?<=\s)(?:-u|--user|--proxy-user)(?:\s+|=)[\"']?[\w.@+-]{1,64}:|\b[Ll]og(?:in|ged in)(?: as)? [\w.@+-]{1,64} ?/ ?[\"'`]?|(?i:/\*\s*pass(?:word|wd|phrase)?\s*\*/)\s*[\"'`])(?P<value>[^\s\"'`]{4,200})")
+_LOGIN = re.compile(r"(?:(?<=\s)(?:-u|--user|--proxy-user)(?:\s+|=)[\"']?[\w.@+-]{1,64}:|\b[Cc]red(?:s|entials)?\b[^\n:=]{0,60}:[ \t]*[\w.@+-]{1,64}:[\"'`]?|\b[Ll]og(?:in|ged in)(?: as)? [\w.@+-]{1,64} ?/ ?[\"'`]?|(?i:/\*\s*pass(?:word|wd|phrase)?\s*\*/)\s*[\"'`])(?P<value>[^\s\"'`]{4,200})")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
 #: Vendors mark their keys: a short lower-case tag, a separator, and an unnatural body.
@@ -88,9 +88,10 @@ class Finder:
         if kind in ("password", "url", "pair", "header"):
             return len(value) >= 6 or rate < UNNATURAL
         if kind == "said":  # prose: plainly no word
-            return rate < UNNATURAL and bool(re.search(r"\d|[A-Z]\w*[!*%^+#?]", value) or value.count("-") >= 2)
+            mixed = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", r"\d", r"[^\w]|_")) > 3
+            return rate < (UNNATURAL + 1 if mixed else UNNATURAL) and bool(re.search(r"\d|[A-Z]\w*[!*%^+#?]", value) or value.count("-") >= 2)
         if kind == "weak":  # names such as token or key, which also name other things
-            if _WORDY.match(value):
+            if _WORDY.match(value) and not (value.isalpha() and value.isupper() and len(value) >= 16 and rate < UNNATURAL):
                 return False
             return len(value) >= 8 and (rate < UNNATURAL or value.count("-") >= 3)
         if kind == "noted":
