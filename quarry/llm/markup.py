@@ -198,11 +198,13 @@ class Leaves:
                     else:
                         open_tags.append(name)
 
-    def inputs(self) -> np.ndarray:
-        x = np.zeros((len(self.bounds), TAGS + WORDS + NUMBERS), np.float32)
+    def inputs(self, first: int = 0, last: int | None = None) -> np.ndarray:
         n = len(self.bounds)
-        for i, (a, b) in enumerate(self.bounds):
-            line, row = self.text[a:b], x[i]
+        last = n if last is None else min(last, n)
+        x = np.zeros((last - first, TAGS + WORDS + NUMBERS), np.float32)
+        for i in range(first, last):
+            a, b = self.bounds[i]
+            line, row = self.text[a:b], x[i - first]
             for tag in self.tags[i]:
                 row[_slot(tag, TAGS)] += 1
             for depth, tag in enumerate(self.paths[i]):
@@ -246,14 +248,13 @@ class BiLSTM:
         w["bo"] = np.zeros(outputs, np.float32)
         return cls(w)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, direction: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (batch, steps, hidden); padded steps leave the state as it is."""
+    def run(self, x: np.ndarray, mask: np.ndarray, direction: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """Hidden states (batch, steps, hidden); padded steps leave the state as it is. state: [h, c] to begin with, replaced by the last ones."""
         batch, steps, _ = x.shape
         hidden, W, b = self.hidden, self.w[f"W{direction}"], self.w[f"b{direction}"]
         width = x.shape[2]
         pre = x @ W[:width] + b
-        h = np.zeros((batch, hidden), np.float32)
-        c = np.zeros((batch, hidden), np.float32)
+        h, c = state or (np.zeros((batch, hidden), np.float32), np.zeros((batch, hidden), np.float32))
         out = np.zeros((batch, steps, hidden), np.float32)
         for t in range(steps) if direction == "f" else range(steps - 1, -1, -1):
             g = pre[:, t] + h @ W[width:]
@@ -267,6 +268,8 @@ class BiLSTM:
                 keep.append((t, h, c, i, f, o, z, tc, m))
             c, h = m * c2 + (1 - m) * c, m * h2 + (1 - m) * h
             out[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -286,6 +289,11 @@ class Labeller:
         order = sorted((i for i, v in enumerate(leaves) if v.bounds), key=lambda i: len(leaves[i].bounds))
         at = 0
         while at < len(order):
+            if len(leaves[order[at]].bounds) > batch_leaves:
+                y = self.long_logits(leaves[order[at]], batch_leaves)
+                out[order[at]] = _sigmoid(y[:, : len(KINDS)]), y[:, len(KINDS) :].argmax(1)
+                at += 1
+                continue
             end = at + 1
             while end < len(order) and len(leaves[order[end]].bounds) * (end - at + 1) <= batch_leaves:
                 end += 1
@@ -304,6 +312,23 @@ class Labeller:
         return out
 
 
+    def long_logits(self, leaves: Leaves, step: int) -> np.ndarray:
+        """The logits of one very long text: the same states, computed `step` leaves at a time so that memory stays bounded."""
+        n = len(leaves.bounds)
+        parts = [(a, min(a + step, n)) for a in range(0, n, step)]
+        back = np.zeros((n, self.net.hidden), np.float32)
+        zero = np.zeros((1, self.net.hidden), np.float32)
+        state = [zero, zero]
+        for a, b in reversed(parts):
+            back[a:b] = self.net.run(leaves.inputs(a, b)[None], np.ones((1, b - a), np.float32), "b", state=state)[0]
+        state, out = [zero, zero], []
+        for a, b in parts:
+            x = leaves.inputs(a, b)
+            ahead = self.net.run(x[None], np.ones((1, b - a), np.float32), "f", state=state)[0]
+            out.append(np.concatenate([ahead, back[a:b], x], axis=1) @ self.net.w["Wo"] + self.net.w["bo"])
+        return np.concatenate(out)
+
+
 def kinds_of(leaves: Leaves, probability: np.ndarray) -> list[str]:
     """Kinds that the labeller proposes for some leaf and that the leaf has exact evidence of."""
     return [k for j, k in enumerate(KINDS) if any(probability[i, j] >= PROPOSED and k in leaves.kinds[i] for i in range(len(leaves.bounds)))]

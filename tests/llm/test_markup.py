@@ -58,6 +58,12 @@ def test_gradients():
         assert abs((losses[0] - losses[1]) / 2e-3 - g[k][i]) < 1e-3
 
 
+def test_long_texts_in_parts(labeller):
+    leaves = m.Leaves("\n".join(line for _ in range(30) for line, _, _ in t.Grammar(5).text()))
+    (p, roles), (q, same) = labeller.label([leaves])[0], labeller.label([leaves], 7)[0]
+    assert np.abs(p - q).max() < 1e-5 and (roles == same).all()
+
+
 def test_clean(labeller):
     text = "== Top ==\nSome '''bold''' and [[A|the link]] &amp; more.\n\n# Sub\n- one\n- two **x**\n\n```py\nx = '<p>'\n```\n\\begin{itemize}\n\\item last\n\\end{itemize}\n$$ x^2 $$\n<p>Para <b>b</b></p>"
     leaves = m.Leaves(text)
