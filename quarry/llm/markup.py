@@ -38,7 +38,7 @@ _COMMANDS = "item|alpha|beta|gamma|delta|epsilon|lambda|mu|pi|sigma|theta|omega|
 
 _FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})([^\n`]*)$", re.M)
 _SPAN = re.compile(r"(?<!`)(`{1,2})(?!`)([^\n]+?)(?<!`)\1(?!`)")
-_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?)/?>")
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?)/?>")
 _ENTITY = re.compile(r"&(?:([A-Za-z][A-Za-z0-9]{1,31})|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});")
 _PATTERNS: list[tuple[str, str, re.Pattern]] = [
     (kind, tag, re.compile(pattern, re.M))
@@ -51,9 +51,9 @@ _PATTERNS: list[tuple[str, str, re.Pattern]] = [
         ("markdown", "link", r"!?\[[^\]\[\n]*\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)"),
         ("markdown", "reference", r"(?<![\w\])])\[[^\]\[\n]*[^\W\d][^\]\[\n]*\]\[[^\]\[\n]*\]|^ {0,3}\[[^\]\[\n]+\]:[ \t]+\S+"),
         ("markdown", "autolink", r"<(?:https?|mailto):[^\s<>]+>"),
-        ("markdown", "strong", r"(?<![\w*\\])\*\*(?=[^\s*])[^\n]*?[^\s*\\]\*\*(?!\*)|(?<![\w_\\])__(?=[^\s_])[^\n_]*[^\w\n][^\n_]*?[^\s_\\]__(?!\w)"),
+        ("markdown", "strong", r"(?<![\w*\\])\*\*(?=[^\s*])(?:[^*\n]|\*(?!\*))*[^\s*\\]\*\*(?!\*)|(?<![\w_\\])__(?=[^\s_])[^\n_]*[^\w\n][^\n_]*?[^\s_\\]__(?!\w)"),
         ("markdown", "em", r"(?<![\w*\\.)\]/])\*(?=[^\s*.])[^*\n]*?[^\s*\\]\*(?![\w*])|(?<![\w_\\*./])_(?=[^\s_])[^_\n]*?[^\s_\\]_(?![\w_*])"),
-        ("markdown", "strike", r"(?<![~\w])~~(?=[^\s~])[^\n]*?[^\s~]~~(?!~)"),
+        ("markdown", "strike", r"(?<![~\w])~~(?=[^\s~])(?:[^~\n]|~(?!~))*[^\s~]~~(?!~)"),
         ("markdown", "task", r"^\s*[-*+][ \t]+\[[ xX]\][ \t]"),
         ("markdown", "bullet", r"^[ \t]*[-+][ \t]+\S"),
         ("markdown", "number", r"^[ \t]*\d{1,3}[.)][ \t]+\S"),
@@ -63,7 +63,7 @@ _PATTERNS: list[tuple[str, str, re.Pattern]] = [
         ("wiki", "link", r"\[\[[^\[\]\n]+\]\]"),
         ("wiki", "external", r"(?<!\[)\[(?:https?|ftp)://[^\s\]]+[ \t]+[^\]\n]+\](?!\()"),
         ("wiki", "template", r"\{\{[^{}]{1,400}\}\}"),
-        ("wiki", "quotes", r"(?<!')'{2,3}(?=[^\s'])[^\n]*?[^\s']'{2,3}(?!')"),
+        ("wiki", "quotes", r"(?<!')'{2,3}(?=[^\s'])(?:[^'\n]|'(?!'))*[^\s']'{2,3}(?!')"),
         ("wiki", "table", r"^\{\|[^\n]*$|^\|-[-]*[ \t]*[^\n|]*$|^\|\}[ \t]*$|^[|!][^|\n]*(?:\|\||!!)[^\n]*$|^\|\+[^\n]+$"),
         ("wiki", "indent", r"^:{1,5}[ \t]*(?=\S)(?![:=])[^\n]*\S"),
         ("wiki", "definition", r"^;[ \t]*[^\n:]+:[ \t]*\S|^;[ \t]*[A-Z][^\n=]{0,60}$"),
@@ -345,11 +345,11 @@ _INLINE = [
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]"), r"\1"),
     (re.compile(r"\[(?:https?|ftp)://[^\s\]]+[ \t]+([^\]\n]+)\]"), r"\1"),
     (re.compile(r"\{\{[^{}]{1,400}\}\}"), ""),
-    (re.compile(r"'{2,5}(?=[^\s'])([^\n]*?[^\s'])'{2,5}"), r"\1"),
-    (re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])([^\n]*?[^\s*])\*\*(?!\*)"), r"\1"),
+    (re.compile(r"'{2,5}(?=[^\s'])((?:[^'\n]|'(?!'))*[^\s'])'{2,5}"), r"\1"),
+    (re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])((?:[^*\n]|\*(?!\*))*[^\s*])\*\*(?!\*)"), r"\1"),
     (re.compile(r"(?<!\w)__(?=[^\s_])([^\n_]*[^\w\n][^\n_]*?[^\s_])__(?!\w)"), r"\1"),
     (re.compile(r"(?<![\w*\\.)\]/])\*(?=[^\s*.])([^*\n]*?[^\s*])\*(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![~\w])~~(?=[^\s~])([^\n]*?[^\s~])~~(?!~)"), r"\1"),
+    (re.compile(r"(?<![~\w])~~(?=[^\s~])((?:[^~\n]|~(?!~))*[^\s~])~~(?!~)"), r"\1"),
     (re.compile(r"~?\\(?:cite|label|ref|eqref|pageref|index|vspace|hspace)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}"), ""),
     (re.compile(r"\\(?:textbf|textit|emph|texttt|underline|url|href|text|mbox|footnote)\*?\{([^{}\n]*)\}"), r"\1"),
     (re.compile(r"\{\\(?:bf|it|tt|em|sc|rm|sf)\s+([^{}\n]*)\}"), r"\1"),
