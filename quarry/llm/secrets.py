@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,24 +24,27 @@ UNNATURAL, VERY_UNNATURAL = 2.6, 1.9
 # Words that name a secret when a name ends with them.
 _NAMES = r"pass(?:word|wd|phrase|code|key)?|pwd|pw|secret|token|key|credentials?|bearer|api[-_. ]?key|(?:access|secret|signing|encryption|private|master|auth|account|shared|session|deploy|license|service|client|app|write|hmac|sas|storage|subscription)[-_. ]?key|auth|jwt|pat|pin|dsn[-_]?password|signature|sig"
 #: A name that ends with a secret word, then a sign of assignment, then the value.
-_ASSIGNED = re.compile(rf"(?i)(?P<name>{_NAMES})(?P<sep>\\?[\"'`]?\]?[ \t]{{0,8}}(?:\?\?=|\|\|=|:=|=>|==?|:)[ \t]{{0,8}})(?P<rest>\S)")
+_ASSIGNED = re.compile(rf"(?i)(?P<name>{_NAMES})(?P<sep>\\?[\"'`]?\]?[ \t]*+(?:\?\?=|\|\|=|:=|=>|==?|:)[ \t]*+)(?P<rest>\S)")
 _SAID = re.compile(r"(?i)\b(?P<name>pass(?:word|wd|phrase|code)|pwd|pw)(?P<sep>[ \t]+(?:(?:is|was|of|to)[ \t]+)?)(?=[\"'`“]|\S*[^\sA-Za-z,.;:!?)])(?P<rest>\S)")
 #: Prose that names a secret and quotes it, or says what it is or reads.
-_QUOTED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)|pwd|pw|creds?|credentials?|secret|token|(?:api|access|signing)[ -]key)\b[^\n\"'`“”]{0,70}?[\"'`“](?P<value>[^\s\"'`“”]{6,300})[\"'`”]")
-_READS = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)|pwd|pw|creds?|credentials?|secret|token|(?:api|access|signing)[ -]key)\b[^\n\"'`“”:={}]{0,70}?\b(?:is|was|reads|read|becomes|now)[ \t]+(?P<value>[^\s\"'`“”]{6,300})")
+_QUOTED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)|pwd|pw|creds?|credentials?|secret|token|(?:api|access|signing)[ -]key)\b[^\n\"'`“”]{0,70}?[\"'`“](?P<value>[^\s\"'`“”]{6,}+)[\"'`”]")
+_READS = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)|pwd|pw|creds?|credentials?|secret|token|(?:api|access|signing)[ -]key)\b[^\n\"'`“”:={}]{0,70}?\b(?:is|was|reads|read|becomes|now)[ \t]+(?P<value>[^\s\"'`“”]{6,})")
 _NOTED = re.compile(r"(?i)\b(?P<name>(?:api |access |old |new |secret )?(?:key|token|secret|credential)\b[^\n:={}()\[\]\"'`]{1,40}(?:\bis|\bwas|:)|(?:key|token|secret) (?:is|was))(?P<sep>[ \t]+)(?P<rest>[^\s\"'`])")
 _FLAG = re.compile(rf"(?i)(?<!\S)(?P<name>--?[\w-]*?(?:{_NAMES}))(?P<sep>\s+)(?P<rest>[^\s-])")
 _HEADER = re.compile(r"(?i)\b(?P<name>(?:proxy-)?authorization|x-[\w-]*(?:auth|token|key))\\?[\"'`]?(?P<sep>\s*[:=,]\s*)\\?[\"'`]?(?:(?:bearer|basic|token|digest|apikey|key)\s+)?(?P<rest>\S)")
 _SCHEME = re.compile(r"(?P<name>\b(?:[Bb]earer|BEARER|Basic))(?P<sep>\s+)(?P<rest>[A-Za-z0-9+/=_.~*!#%&^?-]{8})")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,30}://[^\s:@/\"'`<>]{0,200}:(?P<value>[^\s/\"'`<>]{1,300})@(?=[\w\[$%{.-])")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,30}://[^\s:@/\"'`<>]*+:(?P<value>[^\s/\"'`<>]+)@(?=[\w\[$%{.-])")
 _SIGNED = re.compile(r"(?i)[?&;](?:x-[a-z]+-(?:signature|credential-secret|security-token)|sig|signature|hmac|token|access_token|api_?key|key|auth)=(?P<value>[^\s&\"'`<>)\];]{8,})")
-_PAIR = re.compile(r"(?i)\b(?:auth|credentials?|login|basic_auth)\s*[=:]\s*[(\[]\s*[\"'][^\"'\n]{0,100}[\"']\s*,\s*(?P<q>[\"'])(?P<value>[^\"'\n]{3,200})(?P=q)")
+_PAIR = re.compile(r"(?i)\b(?:auth|credentials?|login|basic_auth)\s*[=:]\s*[(\[]\s*[\"'][^\"'\n]*+[\"']\s*,\s*(?P<q>[\"'])(?P<value>[^\"'\n]{3,}+)(?P=q)")
 #: "-u user:password" of a command; "login user / password"; a comment that names the next string.
-_LOGIN = re.compile(r"(?:(?<=\s)(?:-u|--user|--proxy-user)(?:\s+|=)[\"']?[\w.@+-]{1,64}:|\b[Cc]red(?:s|entials)?\b[^\n:=]{0,60}:[ \t]*[\w.@+-]{1,64}:[\"'`]?|\b[Ll]og(?:in|ged in)(?: as)? [\w.@+-]{1,64} ?/ ?[\"'`]?|(?i:/\*\s*pass(?:word|wd|phrase)?\s*\*/)\s*[\"'`])(?P<value>[^\s\"'`]{4,200})")
+_LOGIN = re.compile(r"(?:(?<=\s)(?:-u|--user|--proxy-user)(?:\s+|=)[\"']?[\w.@+-]++:|\b[Cc]red(?:s|entials)?\b[^\n:=]{0,60}:[ \t]*[\w.@+-]++:[\"'`]?|\b[Ll]og(?:in|ged in)(?: as)? [\w.@+-]++ ?/ ?[\"'`]?|(?i:/\*\s*pass(?:word|wd|phrase)?\s*\*/)\s*[\"'`])(?P<value>[^\s\"'`]{4,})")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+#: What stands between the armor lines of a key without an END line, and one such line; short ones must not look like a word.
+_ARMOR_GAP = re.compile(r"(?:\\+[nrt]|[\s\"'`+,;|>#*()]|//(?=\s)|(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): [^\n\\]*)*+")
+_ARMOR = re.compile(r"[A-Za-z0-9+/=]{20,}+|[A-Za-z]*[0-9+/=][A-Za-z0-9+/=]*+|[A-Za-z]*[a-z][A-Z][A-Za-z]*+|[A-Za-z]+\Z")
 #: Vendors mark their keys: a short lower-case tag, a separator, and an unnatural body.
-_TAGGED = re.compile(r"(?<![\w/.+@:-])(?P<value>(?:[a-z]{2,6}(?:_(?:live|test|pat|prod|sk|pk|key))?[_-]|[a-z]{2}\d[a-z]?[.-]|eyJ[A-Za-z0-9_-]{8,}\.|AKIA|ASIA|AIza)[A-Za-z0-9_.-]{16,600})(?![\w/+-])")
+_TAGGED = re.compile(r"(?<![\w/.+@:-])(?P<value>(?:[a-z]{2,6}(?:_(?:live|test|pat|prod|sk|pk|key))?[_-]|[a-z]{2}\d[a-z]?[.-]|eyJ[A-Za-z0-9_-]{8,}\.|AKIA|ASIA|AIza)[A-Za-z0-9_.-]{16,})(?![\w/+-])")
 _CUE = re.compile(r"(?i)pass|pwd|\bpw\b|_pw\b|-u |log(?:in|ged in) |secret|token|key|auth|bearer|basic|cred|signature|sig=|://|eyJ|akia|[a-z]_[a-z]{2,5}_[a-z0-9]{12}|jwt|\bpin\b|pat\b|[a-z]{3}-[a-z0-9]{20}")
 
 _OPEN = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’"}
@@ -70,19 +74,30 @@ def _encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def armor_end(text: str, at: int) -> int:
+    """Where the armor lines that follow an opening line end; `at` if none follows."""
+    end = at
+    while m := _ARMOR.match(text, _ARMOR_GAP.match(text, end).end()):
+        end = m.end()
+    return end
+
+
 class Finder:
     """Finds secrets in texts; the rules see the context, the vocabulary sees how natural a string is."""
 
     def __init__(self, tokenizer: str = TOKENIZER):
         self.encode = _encoding(tokenizer).encode_ordinary
-        self.rate = lru_cache(maxsize=50_000)(self._rate)
+        self.known = lru_cache(maxsize=50_000)(self._rate)
 
     def _rate(self, value: str) -> float:
         return len(value) / max(1, len(self.encode(value)))
 
+    def rate(self, value: str) -> float:
+        return self.known(value) if len(value) <= 1000 else self._rate(value)
+
     def judged(self, kind: str, value: str) -> bool:
         """Whether a value in a context of this kind is a secret written out."""
-        if len(value) < 4 or _PLACEHOLDER.match(value) or _REFERENCE.match(value) or _NUMBER.match(value) or _HEX_SUM.match(value):
+        if len(value) < 4 or ("\n" not in value[:-1] and _PLACEHOLDER.match(value)) or _REFERENCE.match(value) or _NUMBER.match(value) or _HEX_SUM.match(value):
             return False
         rate = self.rate(value)
         if kind in ("password", "url", "pair", "header"):
@@ -104,7 +119,7 @@ class Finder:
         """Bounds of the value that starts at `at`, without its quotes."""
         escaped = text[at] == "\\" and text[at + 1 : at + 2] in ("\"", "'")
         if escaped:
-            end = text.find(text[at : at + 2], at + 2, at + 4000)
+            end = text.find(text[at : at + 2], at + 2)
             return (at + 2, end) if end > 0 else (at + 2, at + 2)
         for prefix in ("b", "r", "f", "u", "B"):
             if text.startswith(prefix, at) and text[at + 1 : at + 2] in ("'", '"'):
@@ -116,7 +131,7 @@ class Finder:
         if close:
             for triple in ('"""', "'''"):
                 if text.startswith(triple, at):
-                    end = text.find(triple, at + 3, at + 4000)
+                    end = text.find(triple, at + 3)
                     return (at + 3, end) if end > 0 else (at, at)
             end = at + 1
             while end < len(text) and text[end] != close and text[end] != "\n":
@@ -137,9 +152,11 @@ class Finder:
             if end > start and found.get(start, (0, ""))[0] < end:
                 found[start] = end, kind
 
-        for m in _PRIVATE.finditer(text):
-            e = _PRIVATE_END.search(text, m.end(), m.end() + 20_000)
-            add(m.start(), e.end() if e else min(len(text), m.end() + 4000), "private_key")
+        keys = list(_PRIVATE.finditer(text))
+        ends = [m.span() for m in _PRIVATE_END.finditer(text)] if keys else []
+        for m, after in zip(keys, [*(n.start() for n in keys[1:]), len(text)]):
+            i = bisect_left(ends, (m.end(), 0))
+            add(m.start(), ends[i][1] if i < len(ends) and ends[i][1] <= after else armor_end(text, m.end()), "private_key")
         for m in _URL.finditer(text):
             if self.judged("url", m["value"]):
                 add(*m.span("value"), "url_password")
@@ -244,8 +261,9 @@ def find_secrets(rows: DataFrame, key: str, text: str, tokenizer: str = TOKENIZE
     """(row_id, start_at, end_at, kind) of each secret written out in the text; offsets are code points, the end is exclusive.
 
     Defined results: null key or text: left out; empty text: nothing; rows stored twice under one key with the same text: each
-    place once; the same secret at several places: each place; texts of any length are read whole. One pass without a
-    shuffle; only the places found are made distinct.
+    place once; the same secret at several places: each place; texts and values of any length are read whole; a private key
+    without an END line ends with its armor lines. Words that name a secret in prose count from at most 70 characters before
+    it. One pass without a shuffle; only the places found are made distinct.
     """
     return _texts(rows, key, text).mapInArrow(_scanner(tokenizer, False), "row_id long, start_at long, end_at long, kind string").distinct()
 

@@ -38,3 +38,37 @@ def test_rows(spark):
     red = {r.row_id: r for r in redact_secrets(df, "id", "data").collect()}
     assert red[1].text == 'password = "***********"' and red[3].text == "" and red[3].secrets == 0 and len(red) == 3
     assert find_secrets(df.limit(0), "id", "data").count() == 0
+
+
+BODY = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zC" * 1000
+LONG = [
+    ("jwt: see eyJhbGciOiJIUzI1NiJ9.", 1000, " end"), ("curl -u me:", 300, " https://x"), ("curl -u " + "a" * 90 + ":", 40, " https://x"), ("the password is ", 400, " now"), ('the password "', 400, '" works'), ("redis://:", 400, "@cache:6379/0"),
+    ("redis://" + "u" * 300 + ":", 40, "@cache:6379/0"), ("auth = ('" + "u" * 150 + "', '", 400, "')"), ("token = \"\"\"", 30_000, '"""'), ('{"a": "api_key: \\"', 30_000, '\\""}'), ("password" + " " * 40 + "=" + "\t" * 40 + "'", 40, "'"),
+]
+
+
+@pytest.mark.parametrize("before,size,after", LONG)
+def test_values_of_any_length(finder, before, size, after):
+    text = before + BODY[:size] + after
+    (a, b, _), = finder.find(text)
+    assert b == len(before) + size and a == (9 if before.startswith("jwt") else len(before))
+
+
+def test_private_keys_of_any_length(finder):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(BODY[i : i + 64] for i in range(0, 30_000, 64))
+    assert [(a, b) for a, b, _ in finder.find(begin + body + "\n" + end + " tail")] == [(0, len(begin + body) + 1 + len(end))]
+    for text, own in ((begin + body + "\n\nThe text goes on.", begin + body), (begin + "Proc-Type: 4,ENCRYPTED\n\n" + body, begin + "Proc-Type: 4,ENCRYPTED\n\n" + body), (begin + "The text goes on.", begin.strip())):
+        assert [(a, b) for a, b, _ in finder.find(text)] == [(0, len(own))]
+    twice = begin + body + "\nleft open\n" + begin + "abc\n" + end
+    assert [(a, b) for a, b, _ in finder.find(twice)] == [(0, len(begin + body)), (twice.rindex(begin), len(twice))]
+
+
+def test_hostile_texts_in_linear_time(finder):
+    from time import process_time
+
+    texts = ("-----BEGIN PRIVATE KEY-----\n" * 8000, "password" + " " * 200_000, "x://" * 50_000, "eyJ" + "a" * 200_000, "ab_" + "a." * 100_000 + "/", "token = \\\"" * 20_000, 'key = """' + "x" * 200_000 + '\ny"""', "pw '" * 50_000, "-u " + "a" * 200_000)
+    for text in texts:
+        at = process_time()
+        finder.find(text)
+        assert process_time() - at < 10, text[:30]
