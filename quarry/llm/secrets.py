@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -45,7 +45,8 @@ _ARMOR_GAP = re.compile(r"(?:\\+[nrt]|[\s\"'`+,;|>#*()]|//(?=\s)|(?:Proc-Type|DE
 _ARMOR = re.compile(r"[A-Za-z0-9+/=]{20,}+|[A-Za-z]*[0-9+/=][A-Za-z0-9+/=]*+|[A-Za-z]*[a-z][A-Z][A-Za-z]*+|[A-Za-z]+\Z")
 #: Vendors mark their keys: a short lower-case tag, a separator, and an unnatural body.
 _TAGGED = re.compile(r"(?<![\w/.+@:-])(?P<value>(?:[a-z]{2,6}(?:_(?:live|test|pat|prod|sk|pk|key))?[_-]|[a-z]{2}\d[a-z]?[.-]|eyJ[A-Za-z0-9_-]{8,}\.|AKIA|ASIA|AIza)[A-Za-z0-9_.-]{16,})(?![\w/+-])")
-_CUE = re.compile(r"(?i)pass|pwd|\bpw\b|_pw\b|-u |log(?:in|ged in) |secret|token|key|auth|bearer|basic|cred|signature|sig=|://|eyJ|akia|[a-z]_[a-z]{2,5}_[a-z0-9]{12}|jwt|\bpin\b|pat\b|[a-z]{3}-[a-z0-9]{20}")
+#: What every rule but _TAGGED needs: the words they begin with, of short ones with what must follow.
+_CUE = re.compile(r"(?i)pass|pwd|\bpw\b|-u\b|-user\b|log(?:in|ged in)[\s=:]|secret|token|key|auth|bearer|basic|cred|jwt|://|[?&;](?:x-|sig|hmac)|(?:pw|pat|pin|sig|signature)\\?[\"'`]?\]?[ \t]*+[?|:=]|(?<!\S)-[\w-]*?(?:pw|pat|pin|sig|signature)\s")
 
 _OPEN = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’"}
 _BARE_END = re.compile(r"[\s\"'`,;)\]}<>|“”\\]")
@@ -144,14 +145,25 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of each secret, in order, none inside another."""
-        if not text or not _CUE.search(text):
-            return []
         found: dict[int, tuple[int, str]] = {}
 
         def add(start: int, end: int, kind: str) -> None:
             if end > start and found.get(start, (0, ""))[0] < end:
                 found[start] = end, kind
 
+        if _CUE.search(text):
+            self.named(text, add)
+        for m in _TAGGED.finditer(text):
+            if self.judged("tagged", m["value"]):
+                add(*m.span("value"), "key")
+        out: list[tuple[int, int, str]] = []
+        for start, (end, kind) in sorted(found.items(), key=lambda x: (x[0], -x[1][0])):
+            if not out or start >= out[-1][1]:
+                out.append((start, end, kind))
+        return out
+
+    def named(self, text: str, add: Callable[[int, int, str], None]) -> None:
+        """Adds the secrets that something beside them names."""
         keys = list(_PRIVATE.finditer(text))
         ends = [m.span() for m in _PRIVATE_END.finditer(text)] if keys else []
         for m, after in zip(keys, [*(n.start() for n in keys[1:]), len(text)]):
@@ -206,14 +218,6 @@ class Finder:
                     continue
                 if self.judged(kind, value):
                     add(start, start + len(value), "password" if strong else "key")
-        for m in _TAGGED.finditer(text):
-            if self.judged("tagged", m["value"]):
-                add(*m.span("value"), "key")
-        out: list[tuple[int, int, str]] = []
-        for start, (end, kind) in sorted(found.items(), key=lambda x: (x[0], -x[1][0])):
-            if not out or start >= out[-1][1]:
-                out.append((start, end, kind))
-        return out
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:

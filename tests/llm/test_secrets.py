@@ -72,3 +72,13 @@ def test_hostile_texts_in_linear_time(finder):
         at = process_time()
         finder.find(text)
         assert process_time() - at < 10, text[:30]
+
+
+BARE = ["ghp_" + BODY[:36], "npm_" + BODY[:36], "hf_" + BODY[:36], "xoxb-123456789012-1234567890123-" + BODY[:24], "AIza" + BODY[:35], "ASIA" + "Q7X2M9K4T8V3B6N1", "AKIA" + "Q7X2M9K4T8V3B6N1", "eyJhbGciOiJIUzI1NiJ9." + BODY[:60]]
+UNCUED = [("dbPw = '", "x9Kd82mQpZ", "'"), ("user_pin = '", "x9Kd82mQpZ", "'"), ("sig: '", "x9Kd82mQpZ", "'"), ("x --user bob:", "x9Kd82mQpZ", " y"), ("x -u\tbob:", "x9Kd82mQpZ", " y"), ("login = ('bob', '", "x9Kd82mQpZ", "')"), ("/p?hmac=", "x9Kd82mQpZ47Tw", " y"), ("run --pin ", "x9Kd82mQpZ", " y")]
+
+
+@pytest.mark.parametrize("before,secret,after", [("run 7 of ", s, " ended") for s in BARE] + UNCUED)
+def test_no_gate_before_a_rule(finder, before, secret, after):
+    text = before + secret + after
+    assert [text[a:b] for a, b, _ in finder.find(text)] == [secret]
