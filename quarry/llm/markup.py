@@ -43,7 +43,7 @@ _ENTITY = re.compile(r"&(?:([A-Za-z][A-Za-z0-9]{1,31})|#\d{1,7}|#[xX][0-9A-Fa-f]
 _PATTERNS: list[tuple[str, str, re.Pattern]] = [
     (kind, tag, re.compile(pattern, re.M))
     for kind, tag, pattern in (
-        ("html", "comment", r"<!--[\s\S]{0,4000}?-->|<!DOCTYPE[^>]*>|<!--[^\n]*$"),
+        ("html", "comment", r"<!DOCTYPE[^>]*>"),
         ("html", "cut", r"^\s*[a-z-]+=(?:\"[^\"\n]*\"|'[^'\n]*')(?:\s+[a-z-]+=(?:\"[^\"\n]*\"|'[^'\n]*'))*\s*/?>|<(?:img|a|div|span|table|p|td|input|link|meta)\s+[a-z-]+=(?:\"[^\"\n]*\"|'[^'\n]*')[^<>\n]*$"),
         ("markdown", "heading", r"^ {0,3}#{1,6}[ \t]+\S"),
         ("markdown", "setext", r"(?<=\n)(?:={3,}|-{3,})[ \t]*$"),
@@ -62,7 +62,6 @@ _PATTERNS: list[tuple[str, str, re.Pattern]] = [
         ("wiki", "heading", r"^(={2,6})[ \t]*[^=\n][^\n]*?[ \t]*\1[ \t]*$"),
         ("wiki", "link", r"\[\[[^\[\]\n]+\]\]"),
         ("wiki", "external", r"(?<!\[)\[(?:https?|ftp)://[^\s\]]+[ \t]+[^\]\n]+\](?!\()"),
-        ("wiki", "template", r"\{\{[^{}]{1,400}\}\}"),
         ("wiki", "quotes", r"(?<!')'{2,3}(?=[^\s'])(?:[^'\n]|'(?!'))*[^\s']'{2,3}(?!')"),
         ("wiki", "table", r"^\{\|[^\n]*$|^\|-[-]*[ \t]*[^\n|]*$|^\|\}[ \t]*$|^[|!][^|\n]*(?:\|\||!!)[^\n]*$|^\|\+[^\n]+$"),
         ("wiki", "indent", r"^:{1,5}[ \t]*(?=\S)(?![:=])[^\n]*\S"),
@@ -71,7 +70,7 @@ _PATTERNS: list[tuple[str, str, re.Pattern]] = [
         ("latex", "command", r"\\[A-Za-z]+\*?[ \t]*(?:\[[^\]\n]*\][ \t]*)?\{[^{}\n]*"),
         ("latex", "symbol", rf"(?<![\w\\:.])\\(?:{_COMMANDS})(?![A-Za-z\\])"),
         ("latex", "break", r"\\\\[ \t]*$|\\\\\[\d"),
-        ("latex", "display", r"\$\$(?=\S|\s)[^$]{1,2000}\$\$|\\\[[\s\S]{1,2000}?\\\]|\\\([^\n]{1,400}?\\\)"),
+        ("latex", "display", r"\$\$[^$]++\$\$"),
         ("latex", "inline", r"(?<![\\$\w])\$(?=[^\s$\d]|\d[^\s$]*[\\^_=+{}])[^$\n]*?(?<=[^\s\\$])\$(?![\w$])"),
         ("latex", "escape", r"(?<!\\)\\[%&#_](?!\w*\\)|(?<=\w)~\\(?=[a-z])"),
         ("latex", "group", r"\{\\(?:bf|it|tt|em|sc|rm|sf|small|large|Large|tiny)\b"),
@@ -120,6 +119,56 @@ def blanked(text: str) -> tuple[str, list[tuple[int, int]], list[int], list[int]
     return out, bodies, fences, spans
 
 
+#: Opening and closing signs of formulas; "\\[2pt]" is a line break. The second kind stays in its line.
+_DISPLAY = re.compile(r"(?P<open>(?:(?<!\\)|(?!\\\[\d))\\\[)|(?P<close>\\\])")
+_PAREN = re.compile(r"(?P<open>\\\()|(?P<close>\\\))|\n")
+_BRACES = re.compile(r"\{+|\}+")
+
+
+def between(signs: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Bounds from each opening sign to the next closing one, whatever stands between; any other sign drops the opening one."""
+    start = None
+    for m in signs.finditer(text):
+        if m.lastgroup == "open":
+            start = m.start() if start is None else start
+        else:
+            if m.lastgroup == "close" and start is not None and m.start() > start + 2:
+                yield start, m.end()
+            start = None
+
+
+def comments(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of HTML comments of any length; one that is never closed ends with its line."""
+    at, last = 0, text.rfind("-->")
+    while (start := text.find("<!--", at)) >= 0:
+        end = text.find("-->", start + 4) + 3 if last >= start + 4 else text.find("\n", start)
+        at = end if end > 0 else len(text)
+        yield start, at
+
+
+def templates(text: str) -> list[tuple[int, int]]:
+    """Bounds of the outermost {{...}} of any length; others may stand inside, lone braces may not."""
+    out: list[tuple[int, int]] = []
+    stack: list[int] = []
+    for m in _BRACES.finditer(text):
+        a, b = m.span()
+        if m[0][0] == "{":
+            if (b - a) % 2:
+                stack.clear()
+            stack += range(a + (b - a) % 2, b, 2)
+        else:
+            for end in range(a + 2, b + 1, 2):
+                if stack:
+                    start = stack.pop()
+                    if end - start > 4:
+                        while out and out[-1][0] > start:
+                            out.pop()
+                        out.append((start, end))
+            if (b - a) % 2:
+                stack.clear()
+    return out
+
+
 def evidence(text: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[int, int]]]:
     """((kind, tag, start, end) of every exact piece of markup outside code, bounds of fenced bodies)."""
     plain, bodies, fences, spans = blanked(text)
@@ -131,6 +180,12 @@ def evidence(text: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[int
                 found.append(("html", m[2].lower(), m.start(), m.end()))
     if "&" in plain:
         found += [("html", "entity", m.start(), m.end()) for m in _ENTITY.finditer(plain) if not m[1] or m[1] + ";" in html.entities.html5]
+    if "<!--" in plain:
+        found += [("html", "comment", *span) for span in comments(plain)]
+    if "{{" in plain:
+        found += [("wiki", "template", *span) for span in templates(plain)]
+    if "\\" in plain:
+        found += [("latex", "display", *span) for signs in (_DISPLAY, _PAREN) for span in between(signs, plain)]
     for kind, tag, pattern in _PATTERNS:
         if kind == "latex" and "\\" not in plain and "$" not in plain:
             break
@@ -344,7 +399,7 @@ _INLINE = [
     (re.compile(r"\[\[(?:Category|File|Image|Kategorie|Datei):[^\[\]\n]*\]\]"), ""),
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]"), r"\1"),
     (re.compile(r"\[(?:https?|ftp)://[^\s\]]+[ \t]+([^\]\n]+)\]"), r"\1"),
-    (re.compile(r"\{\{[^{}]{1,400}\}\}"), ""),
+    (re.compile(r"\{\{[^{}]++\}\}"), ""),
     (re.compile(r"'{2,5}(?=[^\s'])((?:[^'\n]|'(?!'))*[^\s'])'{2,5}"), r"\1"),
     (re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])((?:[^*\n]|\*(?!\*))*[^\s*])\*\*(?!\*)"), r"\1"),
     (re.compile(r"(?<!\w)__(?=[^\s_])([^\n_]*[^\w\n][^\n_]*?[^\s_])__(?!\w)"), r"\1"),

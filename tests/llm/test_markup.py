@@ -80,3 +80,30 @@ def test_rows(spark):
     cleaned = {r.chunk_id: r for r in m.clean_markup(chunks, sources).collect()}
     assert cleaned[1].content == "x y" and cleaned[2].content == "<p>code</p>" and cleaned[3].content is None and cleaned[5].content == "" and len(cleaned) == 5
     assert m.find_markup(chunks.limit(0), sources).count() == 0
+
+
+FILLER = "The index reads the shard before it merges the parts of the day. "
+LONG = {
+    "wiki": ["{{Infobox index\n" + "".join(f"| field{i} = some value of it\n" for i in range(60)) + "}}", "{{Infobox\n| a = " + FILLER * 10 + "{{small|x}}\n}}"],
+    "latex": ["$$ x = " + "1 + " * 700 + "1 $$", "\\[ x = " + "1 + " * 700 + "1 \\]", "is \\( " + "1 + " * 150 + "1 \\) here"], "html": ["<!-- " + FILLER * 80 + "\n" + FILLER + "-->"],
+}
+
+
+def test_constructs_of_any_length(labeller):
+    for kind, texts in LONG.items():
+        for x in texts:
+            found, _ = m.evidence(f"{FILLER}\n\n{x}\n\n{FILLER}")
+            assert any(k == kind and b - a > 390 and (a, b)[1] - a >= len(x) - 8 for k, _, a, b in found), x[:30]
+        framed = [f"The index reads the shard before it merges.\n\n{x}\n\nThe daemon keeps the cache." for x in texts]
+        assert kinds(labeller, framed) == [[kind]] * len(texts), kind
+    assert m.templates("{{{1|}}} {{a {b} c}} {{}} {{a|{{b}}}}") == [(1, 7), (26, 37)]
+    assert list(m.comments("<!-- a --> <!-- b\nc")) == [(0, 10), (11, 17)]
+
+
+def test_hostile_constructs_in_linear_time():
+    from time import process_time
+
+    for text in ("<!-- " * 40_000, "{{a" * 40_000, "{{a\n" * 20_000 + "}}\n" * 20_000, "\\[ " * 60_000, "\\( " * 60_000, "$$" * 60_000):
+        at = process_time()
+        m.evidence(text)
+        assert process_time() - at < 10, text[:10]
