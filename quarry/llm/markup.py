@@ -6,6 +6,7 @@ import html
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -429,14 +430,105 @@ def _strip(line: str) -> str:
     return re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m[1])], line)
 
 
+#: Elements that begin or end a block of their own; code and what is no text are taken with their bodies.
+_BLOCK = re.compile(r"<(?P<end>/?)(?:address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|section|table|tbody|tfoot|thead|title|tr|ul)(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?/?>", re.I)
+_BODY = re.compile(r"<(?P<end>/?)(?P<name>pre|script|style|h[1-6])(?![\w-])[^<>]*>|\\(?P<tex>begin|end)\{(?P<env>verbatim\*?|lstlisting|minted)\}(?:[ \t]*\[[^\]\n]*\])?(?:\{[^{}\n]*\})?", re.I)
+
+
+def _without_elements(text: str) -> str:
+    return _TAG.sub(lambda m: "" if m[2].lower() in _ELEMENTS else m[0], text)
+
+
+def _bodies(plain: str) -> Iterator[tuple[str, re.Match, re.Match]]:
+    """(name, opening, closing) of elements and environments with a body, none inside another."""
+    opening: re.Match | None = None
+    for m in _BODY.finditer(plain):
+        name = (m["name"] or m["env"]).lower()
+        if opening is None:
+            opening = None if m["end"] or (m["tex"] or "").lower() == "end" else m
+        elif (m["end"] or (m["tex"] or "").lower() == "end") and name == (own := (opening["name"] or opening["env"]).lower()):
+            yield own, opening, m
+            opening = None
+        elif (opening["name"] or "").lower().startswith("h") and not m["end"]:  # a heading that was never closed
+            opening = m
+
+
+def by_lines(leaves: Leaves) -> tuple[str, list[int], list[int]]:
+    """(text in which every construct has its own lines, starts of its parts, their starts in the text of the leaves).
+
+    Comments, templates, scripts and styles over several lines are left out, code of several lines stands between fences as it is,
+    a heading in one line, and lines are cut at block elements.
+    """
+    text, plain = leaves.text, blanked(leaves.text)[0]
+    cuts: list[tuple[int, int, str]] = []  # start, end, what comes instead
+
+    def before(at: int) -> int:  # the end of what precedes in the line
+        while at and text[at - 1] in " \t":
+            at -= 1
+        return at
+
+    def after(at: int) -> int:
+        while text[at : at + 1] in (" ", "\t"):
+            at += 1
+        return at
+
+    math = sorted((a, b) for _, tag, a, b in leaves.evidence if tag in ("display", "inline"))
+    for _, tag, a, b in leaves.evidence:
+        if tag == "comment" and "\n" in text[a:b]:
+            cuts.append((a, b, ""))
+        elif tag == "template" and ("\n" in text[a:b] or "{{" in text[a + 2 : b]):
+            i = bisect_right(math, (b, 0)) - 1
+            if i < 0 or math[i][1] <= a:
+                cuts.append((a, b, ""))
+    if "<" in plain or "\\begin{" in plain:
+        for name, first, last in _bodies(plain):
+            body = text[first.end() : last.start()]
+            if name in ("script", "style"):
+                cuts.append((first.start(), last.end(), ""))
+            elif name.startswith("h"):
+                cuts += [(m.start(), m.end(), " ") for m in re.compile(r"\s*\n\s*").finditer(plain, first.end(), last.start())]
+            else:
+                body = html.unescape(_without_elements(body)) if name == "pre" else body
+                body = re.sub(r"\A(?:[ \t]*\n)+|\s+\Z", "", body)
+                fence = "`" * max(3, 1 + max(map(len, re.findall("`+", body)), default=0))
+                a, b = before(first.start()), after(last.end())
+                cuts.append((a, b, ("\n" if text[a - 1 : a] not in ("", "\n") else "") + (f"{fence}\n{body}\n{fence}" if body else "") + ("\n" if text[b : b + 1] not in ("", "\n") else "")))
+        for m in _BLOCK.finditer(plain):  # not in strings of code, where a quote stands beside the element
+            if m["end"] or m[0].lower().startswith("<hr"):
+                if text[(b := after(m.end())) : b + 1] not in ("", "\n", '"', "'", "`"):
+                    cuts.append((m.end(), m.end(), "\n"))
+            elif text[(a := before(m.start())) - 1 : a] not in ("", "\n", '"', "'", "`"):
+                cuts.append((m.start(), m.start(), "\n"))
+    parts, new, old, at, size, tail = [], [0], [0], 0, 0, "\n"
+    for a, b, by in sorted(cuts, key=lambda c: (c[0], -c[1])):
+        if a >= at:
+            tail = text[at:a][-1:] or tail
+            by = by[1:] if by[:1] == tail == "\n" else by
+            tail = by[-1:] or tail
+            parts += [text[at:a], by]
+            size += a - at + len(by)
+            at = b
+            new.append(size)
+            old.append(at)
+    return "".join([*parts, text[at:]]), new, old
+
+
 def clean(leaves: Leaves, roles: np.ndarray) -> str:
     """The text without markup; headings start with '# ', list items with '- ', code stands between ``` lines, formulas keep $ or environments."""
+    text, new, old = by_lines(leaves)
+    if text != leaves.text:  # a line keeps its role unless it was cut
+        starts, lines = [a for a, _ in leaves.bounds], Leaves(text)
+        own = [max(0, bisect_right(starts, old[i] + a - new[i]) - 1) for a, _ in lines.bounds for i in (bisect_right(new, a) - 1,)]
+        counts = Counter(own)
+        leaves, roles = lines, np.array([roles[i] if counts[i] == 1 else 0 for i in own], int)
     out: list[str] = []
-    in_code, skip_script, last = False, False, 0
+    in_code, last = False, 0
     for (a, b), role, tags, path in zip(leaves.bounds, roles, leaves.tags, leaves.paths):
         line = leaves.text[a:b]
         if leaves.text[last:a].count("\n") > 1 and out and out[-1] != "" and not in_code:
             out.append("")
+        if in_code:
+            out += [""] * (leaves.text[last:a].count("\n") - 1)
         last = b
         if "markdown:fence" in tags:
             out.append("```" + ("" if in_code else line.strip().strip("`~")))
@@ -458,10 +550,11 @@ def clean(leaves: Leaves, roles: np.ndarray) -> str:
             continue
         if "html:h1" in tags or any(f"html:h{i}" in tags for i in range(2, 7)) or "markdown:heading" in tags or "wiki:heading" in tags or re.match(r"\s*\\(?:part|chapter|(?:sub)*section|paragraph)\*?\{", line):
             text = re.sub(r"^\s*#{1,6}\s+|^\s*=+\s*|\s*=+\s*$|\\(?:part|chapter|(?:sub)*section|paragraph)\*?\{([^{}]*)\}", r"\1", line)
-            out.append("# " + _strip(text).strip())
+            if text := _strip(text).strip():
+                out.append("# " + text)
             continue
         if "html:pre" in tags or (path and "pre" in path):
-            out += ["```", html.unescape(_TAG.sub("", line)).strip(), "```"]
+            out += ["```", html.unescape(_without_elements(line)).strip(), "```"]
             continue
         item = re.match(r"^\s*(?:[-+*]+\s+(?:\[[ xX]\]\s+)?|\d{1,3}[.)]\s+|\\item\s*|<li[^>]*>)", line, re.I)
         if item and (name == "list" or tags):
@@ -478,7 +571,7 @@ def clean(leaves: Leaves, roles: np.ndarray) -> str:
             out.append(text)
     if in_code:
         out.append("```")
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
+    return "\n".join(out).strip("\n")
 
 
 @lru_cache(maxsize=2)

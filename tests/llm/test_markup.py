@@ -107,3 +107,29 @@ def test_hostile_constructs_in_linear_time():
         at = process_time()
         m.evidence(text)
         assert process_time() - at < 10, text[:10]
+
+
+def cleaned(labeller, text):
+    leaves = m.Leaves(text)
+    return m.clean(leaves, labeller.label([leaves])[0][1])
+
+
+def test_clean_constructs_over_lines(labeller):
+    code = "# not a heading\nif a &lt; b:\n    run(a)\n\n\n    # <!-- kept? -->".replace("<!-- kept? -->", "end")
+    plain = "```\n# not a heading\nif a < b:\n    run(a)\n\n\n    # end\n```"
+    assert cleaned(labeller, f"Some text.\n<pre>\n{code}\n</pre>\nMore text.") == f"Some text.\n{plain}\nMore text."
+    assert cleaned(labeller, f"Some text.\n\\begin{{verbatim}}\n{code}\n\\end{{verbatim}}\nMore text.") == f"Some text.\n{plain}\nMore text.".replace("<", "&lt;")
+    assert cleaned(labeller, "Before it.\n<!-- a\n# b\nc -->\nThe end <!-- x\ny --> is here.") == "Before it.\n\nThe end  is here."
+    assert cleaned(labeller, "{{Infobox\n| a = b\n| c = {{small|d}}\n}}\nThe page is here.") == "The page is here."
+    page = "<html><head><title>T</title><style>p {}</style></head><body><h1>Top</h1><p>One <b>two</b>.</p><ul><li>a</li><li>b</li></ul><h2>Sub</h2><p>Three.</p></body></html>"
+    assert cleaned(labeller, page) == "T\n# Top\nOne two.\n- a\n- b\n# Sub\nThree."
+
+
+def test_lines_of_hostile_texts_in_linear_time():
+    from time import process_time
+
+    for text in ("<pre>" * 30_000, "<h1>" * 30_000, "<p> </p>" * 20_000, "\\begin{verbatim}" * 10_000, "<!--\n-->" * 20_000, "<script>" * 20_000):
+        leaves = m.Leaves(text)
+        at = process_time()
+        m.by_lines(leaves)
+        assert process_time() - at < 10, text[:10]
