@@ -57,7 +57,8 @@ class Items:
     """The passages of test items, their pieces, and an automaton over all pieces.
 
     A passage is `size` consecutive words of an item (a shorter item is one passage). A passage is cut into
-    edits + 1 pieces; one that occurs with at most `edits` edits keeps at least one piece unchanged.
+    edits + 1 pieces; one that occurs with at most `edits` edits keeps at least one piece unchanged, since no character
+    belongs to two: the blank between two pieces is that of the right one.
     """
 
     def __init__(self, items: list[tuple[int, str]], size: int, edits: int):
@@ -72,7 +73,7 @@ class Items:
             for p in range(len(w) - n + 1 if n else 0):
                 for a, b in zip(cuts, cuts[1:]):
                     if b > a:
-                        pieces[" " + " ".join(w[p + a : p + b]) + " "].add((i, p, p + a))
+                        pieces[" " + " ".join(w[p + a : p + b]) + " " * (b == n)].add((i, p, p + a))
         self.automaton = ahocorasick.Automaton()
         for piece, where in pieces.items():
             self.automaton.add_word(piece, (len(piece), sorted(where)))

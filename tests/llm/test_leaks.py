@@ -67,3 +67,12 @@ def test_edits_and_odd_rows(spark):
     assert set(got) == {1, 2, 6} and got[1].edits == 1 and got[1].common_words == 0 and got[2].common_words == 13 and got[6].edits == 0
     assert k.leaked_items(frame(spark, []), items(spark, [(1, t)])).count() == 0
     assert k.leaked_items(frame(spark, docs), items(spark, [])).count() == 0
+
+
+def test_one_edit_anywhere():
+    w = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima".split()
+    known = k.Items([(1, " ".join(w))], 12, 1)
+    line = " ".join(w)
+    for i in range(len(line)):
+        for text in (line[:i] + line[i + 1 :], line[:i] + "x" + line[i:], line[:i] + "x" + line[i + 1 :]):
+            assert [(item, edits <= 1) for item, edits, _, _ in known.found(f"so {text} it")] == [(1, True)], text
