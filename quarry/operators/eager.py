@@ -66,5 +66,9 @@ def eager_rollup(
 
 
 def heavy_keys(rolled: DataFrame, percent: int = 4) -> DataFrame:
-    """Keys of an eager_rollup that hold at least `percent` % of all records."""
-    return rolled.where(F.col("n_records") * 100 >= F.col("n_total") * percent).select("field", "key_value")
+    """Keys of an eager_rollup that hold at least `percent` % of all records.
+
+    A left join keeps every record at least once, so a key whose joined rows are fewer than its records lost states and isn't reported.
+    """
+    held = (F.col("n_records") * 100 >= F.col("n_total") * percent) & (F.col("n_joined") >= F.col("n_records"))
+    return rolled.where(held).select("field", "key_value")
