@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from quarry.session import spread
 
 _WORD = re.compile(r"[^\W_]+")
-#: Words of a passage, edits (characters) it may differ by, and characters of items that go to the tasks at once.
-WORDS, EDITS, BLOCK_CHARS = 12, 1, 16_000_000
+#: Words of a passage, edits (characters) it may differ by, and characters of items that go to the tasks at once (0.3 GB of a worker).
+WORDS, EDITS, BLOCK_CHARS = 12, 1, 1_000_000
 
 
 def words(text: str) -> str:
@@ -127,9 +128,22 @@ class Items:
         return best
 
 
+_BUILT: dict[str, Items] = {}
+
+
+def built(name: str, items: list[tuple[int, str]], size: int, edits: int) -> Items:
+    """The automaton of a block, built once per worker; a worker holds one block at a time."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(items, size, edits)
+    return _BUILT[name]
+
+
 def _finder(items: list[tuple[int, str]], size: int, edits: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items(items, size, edits)
+        known = built(name, items, size, edits)
         for batch in batches:
             docs, found = [], []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):

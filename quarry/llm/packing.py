@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import spread, written
@@ -14,123 +14,167 @@ from quarry.session import spread, written
 _BLANK = r"\s\p{IsWhite_Space}\x1c-\x1f"
 TOKEN_JVM = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_BLANK}]+"
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Items that one task packs at once (their sizes are all it holds).
-SHARD = 200_000
-#: More kinds of containers than this are no list of capacities.
-MOST_KINDS = 1000
+#: Items that are numbered in one group; the groups of a size are numbered one after another.
+GROUP = 2_000_000
+#: Kinds of containers that one pass over the sizes serves; more kinds take more passes.
+KINDS = 500
 
 
 class OpenBins:
-    """Bins by remaining capacity; `tightest` and `put` take logarithmic time in the capacity.
+    """Runs of bins by remaining capacity; `tightest` and `put` take logarithmic time in the capacity.
 
-    A segment tree over the remaining capacities 0..capacity: a node is set if a bin below it is open.
+    A segment tree over the remaining capacities 0..capacity: a node is present if a run below it is open. A run is
+    (first bin, number of bins), all with the same remaining capacity.
     """
 
     def __init__(self, capacity: int):
         self.base = 1 << max(1, capacity).bit_length()
-        self.tree = bytearray(2 * self.base)
-        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.tree: set[int] = set()
+        self.runs: dict[int, list[tuple[int, int]]] = {}
 
     def tightest(self, size: int) -> int:
-        """The least remaining capacity of an open bin that holds `size`, or -1."""
+        """The least remaining capacity of an open run that holds `size`, or -1."""
         tree, i = self.tree, self.base + size
         if i >= 2 * self.base:
             return -1
-        while not tree[i]:
+        while i not in tree:
             while i & 1:  # a right child: what follows it is above
                 i >>= 1
             if not i:
                 return -1
             i += 1
         while i < self.base:
-            i = 2 * i + (not tree[2 * i])
+            i = 2 * i + (2 * i not in tree)
         return i - self.base
 
-    def take(self, remaining: int) -> int:
-        bins = self.bins[remaining]
-        b = bins.pop()
-        if not bins:
+    def take(self, remaining: int) -> tuple[int, int]:
+        runs = self.runs[remaining]
+        run = runs.pop()
+        if not runs:
             i = self.base + remaining
-            self.tree[i] = 0
+            self.tree.discard(i)
             i >>= 1
-            while i and not (self.tree[2 * i] or self.tree[2 * i + 1]):
-                self.tree[i] = 0
+            while i and 2 * i not in self.tree and 2 * i + 1 not in self.tree:
+                self.tree.discard(i)
                 i >>= 1
-        return b
+        return run
 
-    def put(self, remaining: int, b: int) -> None:
-        bins = self.bins[remaining]
-        bins.append(b)
-        if len(bins) == 1:
+    def put(self, remaining: int, first: int, bins: int) -> None:
+        runs = self.runs.setdefault(remaining, [])
+        runs.append((first, bins))
+        if len(runs) == 1:
             i = self.base + remaining
-            while i and not self.tree[i]:
-                self.tree[i] = 1
+            while i and i not in self.tree:
+                self.tree.add(i)
                 i >>= 1
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item; items are at most `capacity`. Equal sizes go in the order given."""
-    open_bins, out, n = OpenBins(capacity), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        size = sizes[i]
-        remaining = open_bins.tightest(size)
-        if remaining < 0:
-            b, remaining, n = n, capacity, n + 1
-        else:
-            b = open_bins.take(remaining)
-        open_bins.put(remaining - size, b)
-        out[i] = b
-    return out
+def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
+    """(per size its segments, number of bins) for (size, items) pairs; sizes are at most `capacity`.
+
+    A segment (first, items, bin, each) says: of the items of this size, those from rank `first` on go to consecutive bins from `bin`
+    on, `each` to a bin. Placing one item after another gives the same loads: the tightest bin that holds an item is, after taking it,
+    still the tightest as long as it holds another of the same size, so a bin takes as many as fit and a run of equal bins does so alike.
+    """
+    open_bins, out, n = OpenBins(capacity), {}, 0
+    for size, left in sorted(histogram, reverse=True):
+        segments, rank = out.setdefault(size, []), 0
+        while left:
+            remaining = open_bins.tightest(size)
+            if remaining < 0:
+                remaining, each = capacity, capacity // size if size else left
+                first, bins = n, -(-left // each)
+                n += bins
+            else:
+                each = remaining // size if size else left
+                first, bins = open_bins.take(remaining)
+            full = min(bins, left // each)
+            if full:
+                segments.append((rank, full * each, first, each))
+                open_bins.put(remaining - each * size, first, full)
+                rank, left = rank + full * each, left - full * each
+            if full < bins:
+                part, at = left, first + full
+                if part:
+                    segments.append((rank, part, at, each))
+                    open_bins.put(remaining - part * size, at, 1)
+                    rank, left = rank + part, 0
+                if bins - full - bool(part):
+                    open_bins.put(remaining, at + bool(part), bins - full - bool(part))
+    return out, n
+
+
+_PLAN = "container_id int, slot long, before long, most long, segments array<struct<rank:long,items:long,bin:long,each:long>>"
+
+
+def _plan(group: pd.DataFrame) -> pd.DataFrame:
+    """Per slot of a container: how many items have lower slots, the most whole pieces of an item, and the segments of its rests."""
+    group = group.sort_values("slot")
+    capacity = int(group["capacity"].iloc[0])
+    segments, _ = best_fit_decreasing([(s, n) for s, n in zip(group["slot"].tolist(), group["n"].tolist()) if s < capacity], capacity)
+    return pd.DataFrame({
+        "container_id": group["container_id"].to_numpy(), "slot": group["slot"].to_numpy(), "before": (group["n"].cumsum() - group["n"]).to_numpy(), "most": int(group["most"].max()),
+        "segments": [[{"rank": r, "items": k, "bin": b, "each": e} for r, k, b, e in segments.get(s, [])] for s in group["slot"].tolist()],
+    })
+
+
+def _packed(sized: DataFrame, kinds: list[tuple[int, int]], groups: int) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(int(c)).alias("container_id"), F.lit(int(n)).cast("long").alias("capacity")) for c, n in kinds])
+    items = sized.select("doc_id", "size", F.explode(each).alias("c")).select("doc_id", "size", "c.*")
+    full, rest = F.floor(F.col("size") / F.col("capacity")), F.col("size") % F.col("capacity")
+    items = items.withColumns({"full": full, "slot": F.when((rest > 0) | (F.col("size") == 0), rest).otherwise(F.col("capacity")), "salt": F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups))})
+    on = ["container_id", "slot", "salt"]
+    counts = written(items.groupBy(*on).agg(F.first("capacity").alias("capacity"), F.count("*").alias("n"), F.max("full").alias("most")), "slots")
+    plan = counts.groupBy("container_id", "slot").agg(F.first("capacity").alias("capacity"), F.sum("n").alias("n"), F.max("most").alias("most")).groupBy("container_id").applyInPandas(_plan, _PLAN)
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("container_id", "slot").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    overlap = F.filter("segments", lambda s: (s["rank"] < F.col("ahead") + F.col("n")) & (s["rank"] + s["items"] > F.col("ahead")))
+    offsets = counts.select(*on, "n", ahead.alias("ahead")).join(plan, ["container_id", "slot"]).select(*on, "ahead", "before", "most", overlap.alias("segments"))
+    numbered = items.withColumn("nth", F.row_number().over(Window.partitionBy(*on).orderBy("doc_id", "size")) - 1)
+    rank = F.col("ahead") + F.col("nth")
+    own = F.get(F.filter("segments", lambda s: (s["rank"] <= F.col("rank")) & (F.col("rank") < s["rank"] + s["items"])), F.lit(0))
+    placed = numbered.join(offsets, on).withColumn("rank", rank).withColumn("own", own)
+    count = F.col("full") + (F.col("slot") < F.col("capacity")).cast("long")
+    pieces = placed.withColumns({"n_pieces": count, "item": F.col("before") + F.col("rank")}).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1)).alias("piece"))
+    whole = F.col("piece") < F.col("full")
+    into = F.col("own.bin") + F.floor((F.col("rank") - F.col("own.rank")) / F.col("own.each"))
+    return pieces.select(
+        "container_id", "capacity", F.when(whole, -(F.col("item") * F.col("most") + F.col("piece")) - 1).otherwise(into).alias("bin_id"), "doc_id", "item", "piece", "n_pieces",
+        (F.col("piece") * F.col("capacity")).alias("first_token"), F.when(whole, F.col("capacity")).otherwise(F.col("slot")).alias("n_tokens"),
+    )
 
 
-def _pack(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-    bins = best_fit_decreasing(group["n_tokens"].tolist(), int(group["capacity"].iloc[0]))
-    return group.assign(bin_id=group["shard"].astype("int64") * (1 << 32) + pd.Series(bins, index=group.index, dtype="int64"))
+_PACKED = "container_id int, capacity long, bin_id long, doc_id long, item long, piece long, n_pieces long, first_token long, n_tokens long"
 
 
-def pack(docs: DataFrame, containers: DataFrame, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, containers: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """Where each document goes, for each kind of container.
 
-    Columns: container_id, capacity, bin_id, doc_id, piece, n_pieces, first_token, n_tokens. A document that exceeds
-    the capacity is cut into pieces of `capacity` tokens and a rest; no other is split. A whole piece fills
-    a bin of its own; all else is placed best-fit decreasing.
+    Columns: container_id, capacity, bin_id, doc_id, item (the row's number within the container's items), piece, n_pieces, first_token,
+    n_tokens. A document that exceeds the capacity is cut into pieces of `capacity` tokens and a rest; no other is
+    split. A whole piece fills a bin of its own (negative ids, exactly numbered); all else is placed best-fit decreasing over all items.
 
     Defined results: null key or text: left out; empty text: an item of no tokens, in some bin; each row is an item
     (rows repeated under one key are placed one by one); containers with null or non-positive capacity: left out,
-    repeated container_id: the smallest capacity counts; no documents or containers: no rows.
+    repeated container_id: the smallest capacity counts; no documents or containers: no rows. Which of several items of one size
+    goes to which bin follows from hashes of key and size, not from partitions.
 
-    Plan: sizes are counted in the JVM and written once (key and size only). Items are spread by hash over shards
-    of about `shard` items, and a shard is packed by one task; a shard leaves at most a few bins with room, so the loss
-    stays below one bin in thousands while shards are independent. Whole pieces need no placing and no shuffle.
+    Plan: sizes are counted in the JVM and written once (key and size only). Sizes are whole numbers up to the capacity, so best-fit
+    decreasing runs on their histogram, a task per container, whatever the number of documents; it yields runs of ranks and bins. Items are
+    numbered within their size in groups of about `group` (so a size that a third of all items has is spread) and look up their
+    bin by equi-join on (container, size, group); nothing is broadcast or collected but the capacities.
     """
-    kinds = sorted(
-        (r[0], r[1])
-        for r in containers.where("capacity > 0 and container_id is not null").groupBy("container_id").agg(F.min("capacity")).limit(MOST_KINDS + 1).collect()
-    )
-    if len(kinds) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    spark = docs.sparkSession
+    kinds = sorted((r[0], r[1]) for r in containers.where("capacity > 0 and container_id is not null").groupBy("container_id").agg(F.min("capacity")).collect())
     sized = spread(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)).select(
         F.col(key).cast("long").alias("doc_id"), F.regexp_count(F.col(text), F.lit(TOKEN_JVM)).cast("long").alias("size")
     )
     sized = written(sized, "sizes")
-    shards = max(1, -(-sized.count() // shard))
-    each = F.array(*[F.struct(F.lit(int(c)).alias("container_id"), F.lit(int(n)).cast("long").alias("capacity")) for c, n in kinds]) if kinds else F.expr("array()").cast("array<struct<container_id:int,capacity:bigint>>")
-    items = sized.select("doc_id", "size", F.explode(each).alias("c")).select("doc_id", "size", "c.*")
-    full = F.floor(F.col("size") / F.col("capacity"))
-    rest = F.col("size") % F.col("capacity")
-    count = full + F.when((rest > 0) | (F.col("size") == 0), 1).otherwise(0)
-    items = items.withColumns({"full": full, "rest": rest, "n_pieces": count})
-    whole = items.where("full > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece")).select(
-        "container_id", "capacity", (-F.abs(F.xxhash64("doc_id", "piece")) - 1).alias("bin_id"), "doc_id", "piece", "n_pieces",
-        (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("n_tokens"),
-    )
-    placed = items.where("n_pieces > full").select(
-        "container_id", "capacity", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", F.col("full").alias("piece"), "n_pieces",
-        (F.col("full") * F.col("capacity")).alias("first_token"), F.col("rest").alias("n_tokens"),
-    )
-    placed = placed.groupBy("container_id", "shard").applyInPandas(_pack, placed.select("*", F.lit(0).cast("long").alias("bin_id")).schema)
-    return whole.unionByName(placed.select(*whole.columns))
+    groups = max(1, -(-sized.count() // group))
+    out = spark.createDataFrame([], _PACKED)
+    for i in range(0, len(kinds), KINDS):
+        part = _packed(sized, kinds[i : i + KINDS], groups).select(*out.columns)
+        out = part if i == 0 else out.unionByName(part)
+    return out
 
 
 def piece_text(text: str, first_token: int, n_tokens: int) -> str:
@@ -143,12 +187,13 @@ def piece_text(text: str, first_token: int, n_tokens: int) -> str:
 
 
 def split_documents(packed: DataFrame) -> DataFrame:
-    """(container_id, doc_id) of the documents that had to be cut."""
-    return packed.where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("container_id", "doc_id").distinct()
+    """(container_id, doc_id) of the documents whose pieces lie in more than one bin."""
+    spans = packed.groupBy("container_id", "doc_id", "item").agg(F.min("bin_id").alias("low"), F.max("bin_id").alias("high"))
+    return spans.where("low < high").select("container_id", "doc_id").distinct()
 
 
 def fill(packed: DataFrame) -> DataFrame:
-    """Per container: bins, items, tokens and the share of all capacity that is used."""
+    """Per container: bins, items, tokens, the share of all capacity that is used, and the tokens of the fullest bin."""
     bins = packed.groupBy("container_id", "capacity", "bin_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
     return bins.groupBy("container_id", "capacity").agg(
         F.count("*").alias("bins"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * F.first("capacity"))).alias("fill"), F.max("used").alias("fullest")

@@ -66,6 +66,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(pack(table(spark, d, "documents"), table(spark, d, "containers")))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing: all tokens placed, no bin overfull, bins within 1 % (and one) of what the tokens need."""
+    need = F.ceil(F.col("tokens") / F.col("capacity"))
+    sound = (F.col("fullest") <= F.col("capacity")) & (F.col("bins") >= need)
+    return p8_fill(spark, d).select("container_id", "items", "tokens", sound.alias("sound"), (F.col("bins") <= need * 1.01 + 1).alias("tight"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(pack(table(spark, d, "documents"), table(spark, d, "containers")))
 
@@ -92,7 +99,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_copies, p1_found, p2_clean, p2_found, p5_secrets, p5_redacted, p5_found, p7_terms, p7_use, p7_found, p8_fill, p8_found, p9_leaks, p9_found, p10_personal, p10_redacted, p10_found)
+    for f in (p1_copies, p1_found, p2_clean, p2_found, p5_secrets, p5_redacted, p5_found, p7_terms, p7_use, p7_found, p8_fill, p8_checks, p8_found, p9_leaks, p9_found, p10_personal, p10_redacted, p10_found)
 }
 
 _TERMS = """
@@ -111,6 +118,9 @@ ORACLE = {
     "p7_terms": _TERMS + "SELECT term, occurrences, documents FROM f",
     "p7_use": _USE + "SELECT word, occurrences, documents, mark FROM m",
     "p7_found": _USE + "SELECT word, mark FROM m WHERE mark IS NOT NULL",
+    "p8_checks": """
+WITH s AS (SELECT container_id, capacity, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\p{Z}]+')) AS n FROM documents, containers WHERE text IS NOT NULL)
+SELECT container_id, CAST(sum(greatest(1, ceil(n / capacity))) AS BIGINT) AS items, CAST(sum(n) AS BIGINT) AS tokens, TRUE AS sound, TRUE AS tight FROM s GROUP BY 1""",
     "p8_found": """SELECT DISTINCT container_id, doc_id FROM documents, containers
       WHERE len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\p{Z}]+')) > capacity""",
     "p9_found": """

@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import shared_dir
+from quarry.session import kept, shared_dir, size_of
 
 #: A maximal run of letters, digits, '_' and '-'.
 _TERM = re.compile(r"[\w-]+")
 _PARTIAL = "term string, radix long, occurrences long, documents long"
 #: Hash bits of each level of partitions, and the most partial rows that one partition may hold.
-BITS, MOST_ROWS = 6, 4_000_000
+BITS, MOST_ROWS = 6, 2_000_000
+#: The first level has a partition per so many bytes of text, within 2 ** bits and 2 ** 12.
+FIRST_BYTES = 64 << 20
 #: Distinct terms that a task combines before it hands them on, and DuckDB's memory for a partition.
 HELD, MEMORY = 300_000, "512MB"
 
@@ -68,7 +70,7 @@ def _aggregator(memory: str, spill: str):
         con.execute(f"SET memory_limit = '{memory}'")
         if spill:
             os.makedirs(spill, exist_ok=True)
-            con.execute(f"SET temp_directory = '{spill}/{uuid.uuid4().hex}'")
+        con.execute(f"SET temp_directory = '{spill and f'{spill}/{uuid.uuid4().hex}'}'")  # '': spill nowhere
         partial = pa.RecordBatchReader.from_batches(first.schema, stream())  # noqa: F841 (read by name)
         result = con.sql(
             "SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(documents) AS BIGINT) AS documents FROM partial GROUP BY term"
@@ -79,28 +81,29 @@ def _aggregator(memory: str, spill: str):
     return run
 
 
-def _radix_partitions(partial: DataFrame, bits: int, most_rows: int) -> DataFrame:
-    """partial, partitioned by hash bits into files of the shared folder; partitions above most_rows are split by the next bits, again and again.
+def radix_partitions(partial: DataFrame, bits: int, most_rows: int, root: str, first_bits: int | None = None) -> DataFrame:
+    """partial, partitioned by hash bits into files under root; partitions above most_rows are split by the next bits, again and again.
 
-    The column `part` names the final partition. A partition of few distinct terms can't get smaller than one
-    row per term and task, which is what map-side combining leaves.
+    The column `part` names the final partition by the leading bits of its hashes, others zero: a partition and its children
+    never both stay, so names are unique. Each level splits within its parents, so n rows take about log(n / most_rows) / bits
+    levels and only rows of oversized partitions are written again. A partition of a single hash stays as it is: it has one row
+    per task at most, which is what map-side combining leaves.
     """
-    spark, root = partial.sparkSession, f"{shared_dir(partial.sparkSession)}/quarry/terms-{uuid.uuid4().hex}"
-    done, level, todo = None, 0, partial
+    spark, done, level, todo, used = partial.sparkSession, None, 0, partial, 0
     while True:
-        shift = 63 - bits * (level + 1)
-        here = todo.withColumn("bucket", F.shiftright("radix", shift).bitwiseAND((1 << bits) - 1).cast("int"))
+        step = (first_bits or bits) if level == 0 else bits
+        used = min(63, used + step)
+        named = todo.withColumn("part", F.col("radix").bitwiseAND(F.lit(-(1 << (63 - used)))))
         path = f"{root}/{level}"
-        here.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        table = spark.read.schema(here.schema).parquet(path)
-        last = shift - bits < 0
-        large = [] if last else [r["bucket"] for r in table.groupBy("bucket").count().where(F.col("count") > most_rows).select("bucket").collect()]
-        fit = table.where(~F.col("bucket").isin(large)) if large else table
-        fit = fit.withColumn("part", F.col("bucket") + F.lit(level << 20)).drop("bucket")
+        (named.repartition(1 << step, "part") if level == 0 else named.repartition("part")).write.partitionBy("part").parquet(path)
+        table = spark.read.schema(named.schema).parquet(path)
+        sizes = table.groupBy("part").agg(F.count("*").alias("n"), F.min("radix").alias("low"), F.max("radix").alias("high"))
+        large = [r["part"] for r in sizes.where((F.col("n") > most_rows) & (F.col("low") < F.col("high"))).select("part").collect()] if used < 63 else []
+        fit = table.where(~F.col("part").isin(large)) if large else table
         done = fit if done is None else done.unionByName(fit)
         if not large:
             return done
-        todo, level = table.where(F.col("bucket").isin(large)).drop("bucket"), level + 1
+        todo, level = table.where(F.col("part").isin(large)).drop("part"), level + 1
 
 
 def term_frequencies(
@@ -112,17 +115,20 @@ def term_frequencies(
     count once; null key or null text: left out; empty text: no terms; no documents: no rows.
 
     Plan: each task combines its own terms (a term of a third of all words costs one row a task), rows
-    are partitioned by hash bits to the shared folder, oversized partitions are split further by the next bits,
-    and each partition is streamed through a DuckDB aggregate that spills within a fixed memory.
+    are partitioned by hash bits to the shared folder (the first level follows the bytes of the texts), oversized partitions are
+    split further by the next bits, and each partition is streamed through a DuckDB aggregate that spills within a fixed memory,
+    into the shared folder if workers can open it as a path; else it doesn't spill, since a partition's rows fit the memory.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unique = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).dropna().repartition(parts, "__key").distinct()
     partial = unique.select("__text").mapInArrow(_partial, _PARTIAL)
-    parts = _radix_partitions(partial, bits, most_rows)
-    root = shared_dir(docs.sparkSession)
+    first = max(bits, min(12, (size_of(docs.select(key, text)) // FIRST_BYTES).bit_length()))
+    split = radix_partitions(partial, bits, most_rows, kept(spark, "terms"), first)
+    root = shared_dir(spark)
     spill = root.removeprefix("file:").replace("///", "/") + "/quarry/duckdb" if root.startswith(("/", "file:")) else ""
     return (
-        parts.repartition("part")
+        split.repartition("part")
         .select("term", "occurrences", "documents")
         .mapInArrow(_aggregator(memory, spill), "term string, occurrences long, documents long")
     )

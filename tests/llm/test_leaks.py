@@ -76,3 +76,25 @@ def test_one_edit_anywhere():
     for i in range(len(line)):
         for text in (line[:i] + line[i + 1 :], line[:i] + "x" + line[i:], line[:i] + "x" + line[i + 1 :]):
             assert [(item, edits <= 1) for item, edits, _, _ in known.found(f"so {text} it")] == [(1, True)], text
+
+
+def test_recall_of_edited_passages():
+    r = random.Random(21)
+    vocab = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(300)]
+    tests = {i: " ".join(r.choices(vocab, k=r.randint(12, 15))) for i in range(4)}
+    known, want, got = k.Items(list(tests.items()), 12, 1), set(), set()
+    for d in range(60):
+        item = r.choice(list(tests))
+        w = tests[item].split()
+        a = r.randint(0, len(w) - 12)
+        passage = list(" ".join(w[a : a + 12]))
+        for _ in range(r.randint(0, 2)):
+            at = r.randrange(len(passage))
+            passage[at : at + 1] = r.choice([[], ["x"], [passage[at], " "], ["q", passage[at]]])
+        text = f" {' '.join(r.choices(vocab, k=2))} {''.join(passage)} {' '.join(r.choices(vocab, k=2))} "
+        got |= {(d, i) for i, *_ in known.found(text)}
+        for i, t in tests.items():
+            tw = t.split()
+            if any(levenshtein_part(" ".join(tw[p : p + 12]), k.words(text)) <= 1 for p in range(len(tw) - 11)):
+                want.add((d, i))
+    assert len(want) > 30 and len(got & want) >= 0.99 * len(want) and not got - want

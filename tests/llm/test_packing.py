@@ -23,22 +23,45 @@ def plain_best_fit(sizes, capacity):
 
 def test_best_fit_like_the_plain_one():
     r = random.Random(3)
-    for _ in range(40):
+    for _ in range(200):
         capacity = r.randint(1, 60)
         sizes = [r.randint(0, capacity) for _ in range(r.randint(0, 80))]
-        got = p.best_fit_decreasing(sizes, capacity)
+        if r.random() < 0.5:
+            sizes = [min(capacity, s // 3) for s in sizes]
+        histogram = {s: sizes.count(s) for s in sizes}
+        segments, bins = p.best_fit_decreasing(list(histogram.items()), capacity)
+        used = [0] * bins
+        for s, own in segments.items():
+            ranks = [rank for first, items, *_ in own for rank in range(first, first + items)]
+            assert sorted(ranks) == list(range(histogram[s]))
+            for first, items, at, each in own:
+                for k in range(items):
+                    used[at + k // each] += s
+        assert all(u <= capacity for u in used)
+        assert sorted(used) == sorted(capacity - x for x in plain_best_fit(sizes, capacity)[1])
+
+
+def test_same_bins_at_any_partitioning(spark):
+    r = random.Random(8)
+    docs = frame(spark, [(i // 2, "w " * r.choice([3, 3, 3, 7, 11, 64, 120])) for i in range(500)] + [(7, "x " * 45)] * 4)
+    containers = spark.createDataFrame([(1, 20), (2, 100)], "container_id int, capacity int")
+    for group in (1_000_000, 40):
+        got = [sorted(map(tuple, p.pack(docs.repartition(n), containers, group=group).select("container_id", "bin_id", "doc_id", "piece", "n_tokens").collect())) for n in (1, 7)]
+        assert got[0] == got[1]
         used = {}
-        for b, s in zip(got, sizes):
-            used[b] = used.get(b, 0) + s
-        assert all(u <= capacity for u in used.values())
-        assert sorted(used.values()) == sorted(capacity - x for x in plain_best_fit(sizes, capacity)[1])
+        for c, b, _, _, n in got[0]:
+            used[c, b] = used.get((c, b), 0) + n
+        assert all(u <= (20 if c == 1 else 100) for (c, _), u in used.items())
+        loads = sorted(used.values())
+        assert group == 1_000_000 or loads == before
+        before = loads
 
 
 def test_pack(spark):
     r = random.Random(5)
     docs = [(i, "w " * r.randint(0, 30)) for i in range(400)] + [(1000, "x " * 95), (1001, ""), (None, "x"), (1002, None), (1003, "a_b c-d «é» 中文。")]
     containers = spark.createDataFrame([(1, "s", 20), (2, "l", 50), (3, "bad", 0), (None, "bad", 9)], "container_id int, label string, capacity int")
-    rows = p.pack(frame(spark, docs), containers, shard=150).collect()
+    rows = p.pack(frame(spark, docs), containers, group=150).collect()
     for c, capacity in ((1, 20), (2, 50)):
         own = [x for x in rows if x.container_id == c]
         used, pieces = {}, {}

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from quarry.llm.terms import term_frequencies, vocabulary_use
+from quarry.llm.terms import radix_partitions, term_frequencies, vocabulary_use
 
 SCHEMA = "chunk_id long, content string, term string, word string, radix long"
 
@@ -40,3 +40,18 @@ def test_marks(spark):
     got = {r.word: (r.documents, r.mark) for r in vocabulary_use(words, frame(spark, rows)).collect()}
     assert got == {"all": (40, "common"), "some": (8, None), "quarter": (10, "common"), "none": (0, "rare")}
     assert vocabulary_use(words, frame(spark, [])).where("mark = 'rare'").count() == 4
+
+
+def test_every_level_makes_partitions_smaller(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select(F.col("id").cast("string").alias("term"), F.shiftrightunsigned(F.xxhash64("id"), 1).alias("radix"), F.lit(1).cast("long").alias("occurrences"), F.lit(1).cast("long").alias("documents"))
+    hot = spark.range(9_000).select(F.lit("hot").alias("term"), F.lit(12345).cast("long").alias("radix"), F.lit(1).cast("long").alias("occurrences"), F.lit(1).cast("long").alias("documents"))
+    root = f"file://{tmp_path}/r"
+    got = radix_partitions(rows, 2, 5_000, root)
+    sizes = {r["part"]: r["count"] for r in got.groupBy("part").count().collect()}
+    assert sum(sizes.values()) == 40_000 and max(sizes.values()) <= 5_000 and len(list((tmp_path / "r").iterdir())) <= 3
+    sized = radix_partitions(rows, 2, 5_000, root + "2", 4)
+    assert len(list((tmp_path / "r2").iterdir())) == 1 and sized.count() == 40_000
+    both = {r["part"]: r["count"] for r in radix_partitions(rows.unionByName(hot), 2, 5_000, root + "3").groupBy("part").count().collect()}
+    assert sum(both.values()) == 49_000 and sorted(both.values())[-2] <= 5_000
