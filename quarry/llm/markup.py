@@ -9,6 +9,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -20,9 +21,9 @@ MODEL = str(Path(__file__).with_name("markup_model.npz"))
 KINDS = ("html", "markdown", "wiki", "latex")
 ROLES = ("text", "heading", "list", "code", "formula", "table", "quote", "drop")
 #: Widths of the hashed tag path and the hashed words of a leaf, and its plain numbers.
-TAGS, WORDS, NUMBERS = 64, 32, 8
-#: A kind is proposed for a leaf from this probability; the exact patterns then decide.
-PROPOSED = 0.2
+TAGS, WORDS, NUMBERS = 384, 32, 8
+#: A leaf has a kind of markup from this probability.
+MARKED = 0.5
 #: Ids of code sources are broadcast up to this many (16 bytes each, counted first); beyond, chunks join them over so many salts.
 BROADCAST_SOURCES, SALTS = 1_000_000, 32
 
@@ -34,52 +35,9 @@ CODE_FILES = tuple(
 _ELEMENTS = frozenset(
     "a abbr address article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup dd del details dfn dialog div dl dt em embed fieldset figcaption figure font footer form frame h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark menu meta meter nav noscript object ol optgroup option p param picture pre progress q s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr".split()
 )
-# LaTeX commands that stand without braces.
-_COMMANDS = "item|alpha|beta|gamma|delta|epsilon|lambda|mu|pi|sigma|theta|omega|phi|sum|int|prod|frac|sqrt|leq|geq|neq|times|cdot|ldots|dots|infty|partial|nabla|rightarrow|leftarrow|Rightarrow|in|notin|subset|cup|cap|noindent|newpage|clearpage|maketitle|tableofcontents|par|hline|centering|bigskip|medskip|smallskip|hfill|vfill|quad|qquad|LaTeX|TeX|bf|it|tt|em|sc|rm|sf|large|Large|small|tiny|linebreak|newline|appendix|toprule|midrule|bottomrule|left|right"
-
 _FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})([^\n`]*)$", re.M)
 _SPAN = re.compile(r"(?<!`)(`{1,2})(?!`)([^\n]+?)(?<!`)\1(?!`)")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?)/?>")
-_ENTITY = re.compile(r"&(?:([A-Za-z][A-Za-z0-9]{1,31})|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});")
-_PATTERNS: list[tuple[str, str, re.Pattern]] = [
-    (kind, tag, re.compile(pattern, re.M))
-    for kind, tag, pattern in (
-        ("html", "comment", r"<!DOCTYPE[^>]*>"),
-        ("html", "cut", r"^\s*[a-z-]+=(?:\"[^\"\n]*\"|'[^'\n]*')(?:\s+[a-z-]+=(?:\"[^\"\n]*\"|'[^'\n]*'))*\s*/?>|<(?:img|a|div|span|table|p|td|input|link|meta)\s+[a-z-]+=(?:\"[^\"\n]*\"|'[^'\n]*')[^<>\n]*$"),
-        ("markdown", "heading", r"^ {0,3}#{1,6}[ \t]+\S"),
-        ("markdown", "setext", r"(?<=\n)(?:={3,}|-{3,})[ \t]*$"),
-        ("markdown", "rule", r"^ {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$"),
-        ("markdown", "link", r"!?\[[^\]\[\n]*\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)"),
-        ("markdown", "reference", r"(?<![\w\])])\[[^\]\[\n]*[^\W\d][^\]\[\n]*\]\[[^\]\[\n]*\]|^ {0,3}\[[^\]\[\n]+\]:[ \t]+\S+"),
-        ("markdown", "autolink", r"<(?:https?|mailto):[^\s<>]+>"),
-        ("markdown", "strong", r"(?<![\w*\\])\*\*(?=[^\s*])(?:[^*\n]|\*(?!\*))*[^\s*\\]\*\*(?!\*)|(?<![\w_\\])__(?=[^\s_])[^\n_]*[^\w\n][^\n_]*?[^\s_\\]__(?!\w)"),
-        ("markdown", "em", r"(?<![\w*\\.)\]/])\*(?=[^\s*.])[^*\n]*?[^\s*\\]\*(?![\w*])|(?<![\w_\\*./])_(?=[^\s_])[^_\n]*?[^\s_\\]_(?![\w_*])"),
-        ("markdown", "strike", r"(?<![~\w])~~(?=[^\s~])(?:[^~\n]|~(?!~))*[^\s~]~~(?!~)"),
-        ("markdown", "task", r"^\s*[-*+][ \t]+\[[ xX]\][ \t]"),
-        ("markdown", "bullet", r"^[ \t]*[-+][ \t]+\S"),
-        ("markdown", "number", r"^[ \t]*\d{1,3}[.)][ \t]+\S"),
-        ("markdown", "quote", r"^ {0,3}>[ \t]?\S"),
-        ("markdown", "table", r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{1,}:?[ \t]*)+\|?[ \t]*$|^\|[^|\n]+(?:\|[^|\n]+)+\|[ \t]*$"),
-        ("wiki", "heading", r"^(={2,6})[ \t]*[^=\n][^\n]*?[ \t]*\1[ \t]*$"),
-        ("wiki", "link", r"\[\[[^\[\]\n]+\]\]"),
-        ("wiki", "external", r"(?<!\[)\[(?:https?|ftp)://[^\s\]]+[ \t]+[^\]\n]+\](?!\()"),
-        ("wiki", "quotes", r"(?<!')'{2,3}(?=[^\s'])(?:[^'\n]|'(?!'))*[^\s']'{2,3}(?!')"),
-        ("wiki", "table", r"^\{\|[^\n]*$|^\|-[-]*[ \t]*[^\n|]*$|^\|\}[ \t]*$|^[|!][^|\n]*(?:\|\||!!)[^\n]*$|^\|\+[^\n]+$"),
-        ("wiki", "indent", r"^:{1,5}[ \t]*(?=\S)(?![:=])[^\n]*\S"),
-        ("wiki", "definition", r"^;[ \t]*[^\n:]+:[ \t]*\S|^;[ \t]*[A-Z][^\n=]{0,60}$"),
-        ("wiki", "magic", r"__(?:NO)?(?:TOC|EDITSECTION|INDEX|FORCETOC)__|^#REDIRECT\b|</?(?:ref|nowiki|gallery|references)\b[^<>\n]*>"),
-        ("latex", "command", r"\\[A-Za-z]+\*?[ \t]*(?:\[[^\]\n]*\][ \t]*)?\{[^{}\n]*"),
-        ("latex", "symbol", rf"(?<![\w\\:.])\\(?:{_COMMANDS})(?![A-Za-z\\])"),
-        ("latex", "break", r"\\\\[ \t]*$|\\\\\[\d"),
-        ("latex", "display", r"\$\$[^$]++\$\$"),
-        ("latex", "inline", r"(?<![\\$\w])\$(?=[^\s$\d]|\d[^\s$]*[\\^_=+{}])[^$\n]*?(?<=[^\s\\$])\$(?![\w$])"),
-        ("latex", "escape", r"(?<!\\)\\[%&#_](?!\w*\\)|(?<=\w)~\\(?=[a-z])"),
-        ("latex", "group", r"\{\\(?:bf|it|tt|em|sc|rm|sf|small|large|Large|tiny)\b"),
-    )
-]
-#: Signs that plain text has too; they are part of the tag path so that the labeller sees them, never evidence.
-_SIGNS = re.compile(r"(?P<lt>[<>])|(?P<star>\*)|(?P<under>_)|(?P<dollar>\$)|(?P<hat>\^)|(?P<hash>#)|(?P<back>\\)|(?P<tilde>~)|(?P<amp>&)|(?P<square>[\[\]])|(?P<brace>[{}])|(?P<equals>==)|(?P<pipe>\|)|(?P<dash>--)|(?P<quote>'')")
-_WORD = re.compile(r"[^\W\d_]+")
 _MATH_INSIDE = re.compile(r"[\\^_=+{}<>/]|^[A-Za-z]$")
 
 
@@ -89,11 +47,16 @@ def blanked(text: str) -> tuple[str, list[tuple[int, int]], list[int], list[int]
     out = text
     if "```" in text or "~~~" in text:
         marks = list(_FENCE.finditer(text))
+        closing = {c: [n for n, m in enumerate(marks) if m[1][0] == c and not m[2].strip()] for c in "`~"}
         i = 0
         while i < len(marks):
             m = marks[i]
             fences.append(m.start())
-            close = next((n for n in range(i + 1, len(marks)) if marks[n][1][0] == m[1][0] and len(marks[n][1]) >= len(m[1]) and not marks[n][2].strip()), None)
+            own = closing[m[1][0]]
+            k = bisect_right(own, i)
+            while k < len(own) and len(marks[own[k]][1]) < len(m[1]):
+                k += 1
+            close = own[k] if k < len(own) else None
             end = marks[close].start() if close is not None else len(text)
             bodies.append((min(m.end() + 1, end), end))
             if close is None:
@@ -123,6 +86,7 @@ def blanked(text: str) -> tuple[str, list[tuple[int, int]], list[int], list[int]
 #: Opening and closing signs of formulas; "\\[2pt]" is a line break. The second kind stays in its line.
 _DISPLAY = re.compile(r"(?P<open>(?:(?<!\\)|(?!\\\[\d))\\\[)|(?P<close>\\\])")
 _PAREN = re.compile(r"(?P<open>\\\()|(?P<close>\\\))|\n")
+_DOLLARS = re.compile(r"(?P<open>(?<![\\$])\$+(?=[^\s$]))|(?P<close>(?<=[^\s\\$])\$+(?!\w))|\n\n")
 _BRACES = re.compile(r"\{+|\}+")
 
 
@@ -130,9 +94,9 @@ def between(signs: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
     """Bounds from each opening sign to the next closing one, whatever stands between; any other sign drops the opening one."""
     start = None
     for m in signs.finditer(text):
-        if m.lastgroup == "open":
-            start = m.start() if start is None else start
-        else:
+        if m.lastgroup == "open" and start is None:
+            start = m.start()
+        elif m.lastgroup != "open":
             if m.lastgroup == "close" and start is not None and m.start() > start + 2:
                 yield start, m.end()
             start = None
@@ -170,116 +134,185 @@ def templates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def evidence(text: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[int, int]]]:
-    """((kind, tag, start, end) of every exact piece of markup outside code, bounds of fenced bodies)."""
-    plain, bodies, fences, spans = blanked(text)
-    found = [("markdown", "fence", at, at + 3) for at in fences] + [("markdown", "span", at, at + 1) for at in spans]
-    if "<" in plain:
-        for m in _TAG.finditer(plain):
-            generic = not m[1] and m.start() and (plain[m.start() - 1].isalnum() and not m[3] and re.search(r"(?:^|\W)[A-Z]\w*$", plain[max(0, m.start() - 40) : m.start()]))
-            if m[2].lower() in _ELEMENTS and not generic:
-                found.append(("html", m[2].lower(), m.start(), m.end()))
-    if "&" in plain:
-        found += [("html", "entity", m.start(), m.end()) for m in _ENTITY.finditer(plain) if not m[1] or m[1] + ";" in html.entities.html5]
-    if "<!--" in plain:
-        found += [("html", "comment", *span) for span in comments(plain)]
-    if "{{" in plain:
-        found += [("wiki", "template", *span) for span in templates(plain)]
-    if "\\" in plain:
-        found += [("latex", "display", *span) for signs in (_DISPLAY, _PAREN) for span in between(signs, plain)]
-    for kind, tag, pattern in _PATTERNS:
-        if kind == "latex" and "\\" not in plain and "$" not in plain:
-            break
-        for m in pattern.finditer(plain):
-            if m.end() == m.start():
-                continue
-            if tag == "inline" and not _MATH_INSIDE.search(m[0][1:-1]):
-                continue
-            if tag == "setext":
-                above = plain[plain.rfind("\n", 0, m.start() - 1) + 1 : m.start() - 1]
-                if not above.strip() or above.lstrip()[:1] in "|{=#<\\":
-                    continue
-            if tag == "table" and kind == "markdown" and ("||" in m[0] or m[0].startswith(("|-", "|}")) and "|" not in m[0][2:]):
-                continue
-            found.append((kind, tag, m.start(), m.end()))
-    if "* " in plain:  # both languages have this bullet: it goes with the other markup of its text
-        star = [m for m in re.finditer(r"^[ \t]*\*+[ \t]+\S", plain, re.M)]
-        if star:
-            wiki = sum(k == "wiki" for k, *_ in found)
-            other = sum(k == "markdown" for k, *_ in found)
-            found += [("wiki" if wiki > other else "markdown", "bullet", m.start(), m.end()) for m in star]
-    return found, bodies
+#: What the lexer sees: opening and closing elements, entities, commands, and runs of signs. It names no kind of markup.
+_LEX = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*|<!(?:--)?|-->|&(?:[A-Za-z][A-Za-z0-9]*|#\w+);|\\(?:[A-Za-z]+\*?|[^A-Za-z\s])|\*\**|__*|''+|~~*|==*|\[\[*|\]\]*|\{\{*|\}\}*|\|\|*|##*|\$\$*|``*|\^|<|>|--+")
+_LEAD = re.compile(r"[ \t]*([-+*:;!>#=|]+|\d{1,3}[.)])([ \t]|$)?")
+_ATTRIBUTE = re.compile(r"\s+[A-Za-z-]+\s*=")
+_MATH = re.compile(r"[\\^_=+{}<>/]|^[A-Za-z]$")
+_INSIDE_WORDS = frozenset("_=#~^*|'")
+_VOID = frozenset("br img hr input meta link p li td tr th dt dd option wbr".split())
+_PAIRED = frozenset(("*", "**", "***", "_", "__", "___", "''", "'''", "'''''", "~~", "$", "$$", "[", "[[", "{{", "{{{", "`", "``"))
+_CLOSERS = {"]": "[", "]]": "[[", "}}": "{{", "}}}": "{{{"}
+_CLASSES: dict[str, str] = {"": "^", "\n": "^"}
+_SLOTS: dict[object, tuple[int, ...]] = {}
+_WORD_SLOTS: dict[str, int] = {}
+
 
+def _class(c: str) -> str:
+    known = _CLASSES.get(c)
+    if known is None:
+        known = _CLASSES[c] = "a" if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else c if c < "\x7f" else "?"
+    return known
 
-@lru_cache(maxsize=100_000)
-def _slot(token: str, width: int) -> int:
-    return zlib.crc32(token.encode()) % width
+
+def _slots(key: object, *names: str) -> tuple[int, ...]:
+    if len(_SLOTS) > 200_000:
+        _SLOTS.clear()
+    out = _SLOTS[key] = tuple(zlib.crc32(n.encode()) % TAGS for n in names)
+    return out
+
+
+def _word_slot(token: str) -> int:
+    if len(_WORD_SLOTS) > 200_000:
+        _WORD_SLOTS.clear()
+    out = _WORD_SLOTS[token] = zlib.crc32("".join(filter(str.isalpha, token.lower())).encode()) % WORDS
+    return out
 
 
 class Leaves:
-    """The leaves (non-blank lines) of a text: bounds, inputs of the labeller, evidence."""
+    """The leaves (non-blank lines) of a text: bounds, and the inputs of the labeller, kept sparse.
+
+    A leaf's input is its tag path (constructs open where it starts: elements, environments, templates, tables, comments, formulas),
+    its signs as the lexer sees them (each run with what stands on both sides, and which runs pair up in the leaf), its hashed words
+    and a few numbers. Nothing in it says which kind of markup a sign belongs to; that is for the labeller to learn.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.evidence, self.bodies = evidence(text)
-        starts, at = [], 0
+        self.plain, self.bodies, fences, spans = blanked(text)
         self.bounds: list[tuple[int, int]] = []
+        self.slots: list[list[int]] = []
+        self.words: list[list[int]] = []
+        self.fence: list[bool] = []
+        self.code: list[bool] = []
+        numbers: list[tuple[float, ...]] = []
+        plain, path, marks, blank = self.plain, [], set(fences), True
+        body, nth, at = iter([*self.bodies, (len(text) + 1, 0)]), 0, 0
+        first, last = next(body)
         for line in text.split("\n"):
-            if line.strip():
-                self.bounds.append((at, at + len(line)))
-                starts.append(at)
-            at += len(line) + 1
-        self.kinds: list[set[str]] = [set() for _ in starts]
-        self.tags: list[set[str]] = [set() for _ in starts]
-        open_tags: list[str] = []
-        events: list[list[str]] = [[] for _ in starts]
-        for kind, tag, a, b in sorted(self.evidence, key=lambda e: e[2]):
-            for i in range(max(0, bisect_right(starts, a) - 1), bisect_right(starts, max(a, b - 1))):
-                if self.bounds[i][1] >= a:
-                    self.kinds[i].add(kind)
-                    self.tags[i].add(f"{kind}:{tag}")
-            if kind == "html" and (i := bisect_right(starts, a) - 1) >= 0:
-                events[i].append(text[a:b])
-        self.code = [any(x <= a < y for x, y in self.bodies) for a, _ in self.bounds]
-        self.paths: list[tuple[str, ...]] = []
-        for own in events:  # enclosing elements at the start of each leaf
-            self.paths.append(tuple(open_tags[-4:]))
-            for e in own:
-                m = _TAG.match(e)
-                if m and m[2].lower() not in ("br", "img", "hr", "input", "meta", "link", "p", "li", "td", "tr"):
-                    name = m[2].lower()
-                    if m[1]:
-                        if name in open_tags:
-                            del open_tags[len(open_tags) - 1 - open_tags[::-1].index(name) :]
-                    else:
-                        open_tags.append(name)
+            a, b = at, at + len(line)
+            at = b + 1
+            if not line or line.isspace():
+                blank = True
+                continue
+            while a >= last and first <= len(text):
+                first, last = next(body)
+            fence, code = a in marks, first <= a < last
+            own: list[int] = []
+            signs = 0
+            if fence:
+                own += _SLOTS.get("fence") or _slots("fence", "fence", "fence2")
+            elif not code:
+                for depth, name in enumerate(path[:-5:-1]):
+                    own += _SLOTS.get(key := ("path", depth, name)) or _slots(key, f"path{depth}:{name}", f"path:{name}")
+                signs = self._lex(plain, a, b, path, own)
+                while nth < len(spans) and spans[nth] < b:
+                    own += _SLOTS.get("span") or _slots("span", "span", "span2")
+                    nth += 1
+            tokens = line.split()
+            self.bounds.append((a, b))
+            self.slots.append(own)
+            self.words.append([] if code else [_WORD_SLOTS[w] if w in _WORD_SLOTS else _word_slot(w) for w in tokens])
+            self.fence.append(fence)
+            self.code.append(code)
+            size = b - a
+            numbers.append((code, min(size, 300) / 300, min(size - len(line.lstrip()), 12) / 12, min(len(tokens), 60) / 20, blank, fence, min(1.0, 4 * signs / size), not numbers))
+            blank = False
+        self.numbers = np.array(numbers, np.float32).reshape(-1, NUMBERS)
+
+    @staticmethod
+    def _lex(plain: str, a: int, b: int, path: list[str], own: list[int]) -> int:
+        lead = _LEAD.match(plain, a, b)
+        if lead:
+            sign = lead[1] if not lead[1][0].isdigit() else "1" + lead[1][-1]
+            own += _SLOTS.get(key := ("lead", sign[:4], lead[2] is None)) or _slots(key, f"lead{sign[:4]}{lead[2] is None}", f"lead{sign[0]}{lead[2] is None}")
+        opened: dict[str, tuple[int, str]] = {}
+        n = 0
+        for m in _LEX.finditer(plain, a, b):
+            g, (i, j) = m[0], m.span()
+            left, right = _class(plain[i - 1 : i] if i > a else ""), _class(plain[j : j + 1] if j < b else "")
+            c = g[0]
+            if c in _INSIDE_WORDS and left in "a0" and right in "a0" and (c != "*" or len(g) == 1) and c != "|" and len(g) < 3:
+                continue
+            n += 1
+            if c == "<" and len(g) > 1 and g[1] != "!":
+                name = g.lstrip("</").lower()
+                known = name in _ELEMENTS
+                end = g[1] == "/"
+                if left == "a":  # the word before it begins with a capital: a type and its parameter
+                    k = i
+                    while k > a and (plain[k - 1].isalnum() or plain[k - 1] == "_"):
+                        k -= 1
+                    left = "A" if plain[k].isupper() else "a"
+                if right == " " and _ATTRIBUTE.match(plain, j):
+                    right = "="
+                if right in " ^/=" and plain.find(">", j, b) < 0:
+                    right += "open"
+                own += _SLOTS.get(key := (g, left, right)) or _slots(key, f"<{end}{known}{left}{right}", f"<{end}{name if known else '?'}", f"<{known}{right}")
+                if known and name not in _VOID:
+                    if not end:
+                        path.append(name)
+                    elif name in path:
+                        del path[len(path) - 1 - path[::-1].index(name) :]
+                continue
+            if c == "&":
+                known = g[1] == "#" or g[1:] in html.entities.html5
+                own += _SLOTS.get(key := (g, known)) or _slots(key, f"&{known}", f"&{known}{g[1] == '#'}")
+                continue
+            if c == "\\":
+                word = len(g) > 1 and g[1].isalpha()
+                if g in ("\\begin", "\\end") and right == "{":
+                    name = plain[j + 1 : max(j + 1, plain.find("}", j, b))]
+                    if g == "\\begin":
+                        path.append("\\" + name)
+                    elif "\\" + name in path:
+                        del path[len(path) - 1 - path[::-1].index("\\" + name) :]
+                elif g == "\\[":
+                    path.append(g)
+                elif g == "\\]" and "\\[" in path:
+                    del path[path.index("\\[") :]
+                own += _SLOTS.get(key := (g, left, right)) or (_slots(key, f"\\word{left}{right}", f"\\word{right}", g) if word else _slots(key, f"{g}{left}{right}", g))
+                continue
+            g = g[:5]
+            own += _SLOTS.get(key := (g, left, right)) or _slots(key, f"{g}{left}{right}", f"{g}{left}", f"{g}>{right}")
+            if g in _CLOSERS and (o := _CLOSERS[g]) in opened or g in opened and (left not in " ^" or g == "$$"):
+                at, before = opened.pop(_CLOSERS.get(g, g))
+                if c == "$":
+                    inside = ("m" if _MATH.search(plain, at, i) or i - at == 1 and plain[at].isalpha() else "t") + _class(plain[at : at + 1]) + left
+                elif c == "]":
+                    inside = "|" if "|" in plain[at:i] else ""
+                else:
+                    inside = "s" if " " in plain[at:i] else "w"
+                own += _SLOTS.get(key := ("pair", g, before, right, inside)) or _slots(key, f"pair{g}{before in 'a0'}{right in 'a0'}{inside}", f"pair{g}{inside[:1]}")
+            elif g in _PAIRED and (right not in " ^" or c in "[{" or g == "$$"):
+                opened[g] = j, left
+            if g == "{{" or g == "<!--" or g == "{" and right == "|" and left == "^":
+                path.append(g)
+            elif g == "}}" and "{{" in path or g == "-->" and "<!--" in path or g == "}" and left == "|" and "{" in path:
+                start = {"}}": "{{", "-->": "<!--", "}": "{"}[g]
+                del path[len(path) - 1 - path[::-1].index(start) :]
+            elif g == "$$":
+                if "$$" in path:
+                    del path[path.index("$$") :]
+                else:
+                    path.append(g)
+        return n
 
     def inputs(self, first: int = 0, last: int | None = None) -> np.ndarray:
-        n = len(self.bounds)
-        last = n if last is None else min(last, n)
-        x = np.zeros((last - first, TAGS + WORDS + NUMBERS), np.float32)
-        for i in range(first, last):
-            a, b = self.bounds[i]
-            line, row = self.text[a:b], x[i - first]
-            for tag in self.tags[i]:
-                row[_slot(tag, TAGS)] += 1
-            for depth, tag in enumerate(self.paths[i]):
-                row[_slot(f"path{depth}:{tag}", TAGS)] += 0.5
-            for sign in {m.lastgroup for m in _SIGNS.finditer(line)}:
-                row[_slot(f"sign:{sign}", TAGS)] += 0.5
-            words = _WORD.findall(line)
-            for w in words[:40]:
-                row[TAGS + _slot(w.lower(), WORDS)] += 0.3
-            body = row[TAGS + WORDS :]
-            body[0] = self.code[i]
-            body[1] = min(len(line), 200) / 200
-            body[2] = min(len(line) - len(line.lstrip()), 12) / 12
-            body[3] = len(words) / 20
-            body[4] = i == 0
-            body[5] = i == n - 1
-            body[6] = a >= 2 and self.text[a - 2 : a] == "\n\n"
-            body[7] = sum(not c.isalnum() and not c.isspace() for c in line[:200]) / max(1, min(len(line), 200))
-        return x
+        """The inputs of leaves first..last, a row each."""
+        return rows_of(self.slots[first:last], self.words[first:last], self.numbers[first:last])
+
+
+def rows_of(slots: list[list[int]], words: list[list[int]], numbers: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(slots), TAGS + WORDS + NUMBERS), np.float32)
+    row = np.arange(len(slots))
+    x[np.repeat(row, [*map(len, slots)]), np.fromiter(chain.from_iterable(slots), np.int64)] = 1
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    cells = np.repeat(row, sizes) * WORDS + np.fromiter(chain.from_iterable(words), np.int64)
+    counts = np.bincount(cells, minlength=len(slots) * WORDS).reshape(-1, WORDS)
+    x[:, TAGS : TAGS + WORDS] = counts * (0.5 / np.sqrt(np.maximum(sizes, 1)))[:, None]
+    x[:, TAGS + WORDS :] = numbers
+    return x
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
@@ -287,23 +320,26 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
 
 
 class BiLSTM:
-    """A bidirectional LSTM on numpy. Per step and direction: gates = [x, h] W + b in the order input, forget, output, cell."""
+    """A bidirectional LSTM on numpy over embedded leaves. Per step and direction: gates = [e, h] W + b in the order input, forget, output, cell."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
         self.hidden = weights["bf"].shape[0] // 4
 
     @classmethod
-    def fresh(cls, width: int, hidden: int, outputs: int, seed: int = 7) -> BiLSTM:
+    def fresh(cls, width: int, embed: int, hidden: int, outputs: int, seed: int = 7) -> BiLSTM:
         rng = np.random.default_rng(seed)
-        w = {}
+        w = {"We": (rng.standard_normal((width, embed)) * 0.15).astype(np.float32), "be": np.full(embed, 0.05, np.float32)}
         for d in "fb":
-            w[f"W{d}"] = (rng.standard_normal((width + hidden, 4 * hidden)) / np.sqrt(width + hidden)).astype(np.float32)
+            w[f"W{d}"] = (rng.standard_normal((embed + hidden, 4 * hidden)) / np.sqrt(embed + hidden)).astype(np.float32)
             w[f"b{d}"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]).astype(np.float32)
-        w["Wo"] = (rng.standard_normal((2 * hidden + width, outputs)) / np.sqrt(2 * hidden + width)).astype(np.float32)
+        w["Wo"] = (rng.standard_normal((2 * hidden + embed, outputs)) / np.sqrt(2 * hidden + embed)).astype(np.float32)
         w["bo"] = np.zeros(outputs, np.float32)
         return cls(w)
 
+    def embed(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(x @ self.w["We"] + self.w["be"], 0)
+
     def run(self, x: np.ndarray, mask: np.ndarray, direction: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
         """Hidden states (batch, steps, hidden); padded steps leave the state as it is. state: [h, c] to begin with, replaced by the last ones."""
         batch, steps, _ = x.shape
@@ -329,7 +365,11 @@ class BiLSTM:
         return out
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.run(x, mask, "f"), self.run(x, mask, "b"), x], axis=2) @ self.w["Wo"] + self.w["bo"]
+        return self.read(self.embed(x), mask)
+
+    def read(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Outputs of embedded leaves (batch, steps, embed)."""
+        return np.concatenate([self.run(e, mask, "f"), self.run(e, mask, "b"), e], axis=2) @ self.w["Wo"] + self.w["bo"]
 
 
 class Labeller:
@@ -339,7 +379,7 @@ class Labeller:
         with np.load(path) as f:
             self.net = BiLSTM({k: f[k] for k in f.files})
 
-    def label(self, leaves: list[Leaves], batch_leaves: int = 20_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    def label(self, leaves: list[Leaves], batch_leaves: int = 8_000) -> list[tuple[np.ndarray, np.ndarray]]:
         """Texts of like length run together; a text is never cut, so its context is the whole document."""
         out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, 4)), np.zeros(0, int))] * len(leaves)
         order = sorted((i for i, v in enumerate(leaves) if v.bounds), key=lambda i: len(leaves[i].bounds))
@@ -354,20 +394,19 @@ class Labeller:
             while end < len(order) and len(leaves[order[end]].bounds) * (end - at + 1) <= batch_leaves:
                 end += 1
             part = order[at:end]
-            steps = len(leaves[part[-1]].bounds)
-            x = np.zeros((len(part), steps, TAGS + WORDS + NUMBERS), np.float32)
-            mask = np.zeros((len(part), steps), np.float32)
-            for row, i in enumerate(part):
-                v = leaves[i].inputs()
-                x[row, : len(v)], mask[row, : len(v)] = v, 1
-            y = self.net.logits(x, mask)
-            for row, i in enumerate(part):
-                n = len(leaves[i].bounds)
-                out[i] = _sigmoid(y[row, :n, : len(KINDS)]), y[row, :n, len(KINDS) :].argmax(1)
+            sizes = np.array([len(leaves[i].bounds) for i in part])
+            ends = sizes.cumsum()
+            flat = rows_of([v for i in part for v in leaves[i].slots], [v for i in part for v in leaves[i].words], np.concatenate([leaves[i].numbers for i in part]))
+            mask = (np.arange(sizes[-1]) < sizes[:, None]).astype(np.float32)
+            e = np.zeros((len(part), sizes[-1], self.net.w["be"].shape[0]), np.float32)
+            e[mask > 0] = self.net.embed(flat)
+            y = self.net.read(e, mask)[mask > 0]
+            p, roles = _sigmoid(y[:, : len(KINDS)]), y[:, len(KINDS) :].argmax(1)
+            for i, n, stop in zip(part, sizes, ends):
+                out[i] = p[stop - n : stop], roles[stop - n : stop]
             at = end
         return out
 
-
     def long_logits(self, leaves: Leaves, step: int) -> np.ndarray:
         """The logits of one very long text: the same states, computed `step` leaves at a time so that memory stays bounded."""
         n = len(leaves.bounds)
@@ -376,18 +415,18 @@ class Labeller:
         zero = np.zeros((1, self.net.hidden), np.float32)
         state = [zero, zero]
         for a, b in reversed(parts):
-            back[a:b] = self.net.run(leaves.inputs(a, b)[None], np.ones((1, b - a), np.float32), "b", state=state)[0]
+            back[a:b] = self.net.run(self.net.embed(leaves.inputs(a, b))[None], np.ones((1, b - a), np.float32), "b", state=state)[0]
         state, out = [zero, zero], []
         for a, b in parts:
-            x = leaves.inputs(a, b)
-            ahead = self.net.run(x[None], np.ones((1, b - a), np.float32), "f", state=state)[0]
-            out.append(np.concatenate([ahead, back[a:b], x], axis=1) @ self.net.w["Wo"] + self.net.w["bo"])
+            e = self.net.embed(leaves.inputs(a, b))
+            ahead = self.net.run(e[None], np.ones((1, b - a), np.float32), "f", state=state)[0]
+            out.append(np.concatenate([ahead, back[a:b], e], axis=1) @ self.net.w["Wo"] + self.net.w["bo"])
         return np.concatenate(out)
 
 
-def kinds_of(leaves: Leaves, probability: np.ndarray) -> list[str]:
-    """Kinds that the labeller proposes for some leaf and that the leaf has exact evidence of."""
-    return [k for j, k in enumerate(KINDS) if any(probability[i, j] >= PROPOSED and k in leaves.kinds[i] for i in range(len(leaves.bounds)))]
+def kinds_of(probability: np.ndarray) -> list[str]:
+    """Kinds that the labeller gives to some leaf."""
+    return [k for k, p in zip(KINDS, probability.max(0)) if p >= MARKED] if len(probability) else []
 
 
 # --- clean text -----------------------------------------------------------------------------------------------------
@@ -472,11 +511,10 @@ def by_lines(leaves: Leaves) -> tuple[str, list[int], list[int]]:
             at += 1
         return at
 
-    math = sorted((a, b) for _, tag, a, b in leaves.evidence if tag in ("display", "inline"))
-    for _, tag, a, b in leaves.evidence:
-        if tag == "comment" and "\n" in text[a:b]:
-            cuts.append((a, b, ""))
-        elif tag == "template" and ("\n" in text[a:b] or "{{" in text[a + 2 : b]):
+    math = sorted((a, b) for signs in (_DISPLAY, _PAREN, _DOLLARS) for a, b in between(signs, plain)) if "{{" in plain else []
+    cuts += [(a, b, "") for a, b in (comments(plain) if "<!--" in plain else ()) if "\n" in text[a:b]]
+    for a, b in templates(plain) if "{{" in plain else ():
+        if "\n" in text[a:b] or "{{" in text[a + 2 : b]:
             i = bisect_right(math, (b, 0)) - 1
             if i < 0 or math[i][1] <= a:
                 cuts.append((a, b, ""))
@@ -513,62 +551,62 @@ def by_lines(leaves: Leaves) -> tuple[str, list[int], list[int]]:
     return "".join([*parts, text[at:]]), new, old
 
 
-def clean(leaves: Leaves, roles: np.ndarray) -> str:
-    """The text without markup; headings start with '# ', list items with '- ', code stands between ``` lines, formulas keep $ or environments."""
-    text, new, old = by_lines(leaves)
-    if text != leaves.text:  # a line keeps its role unless it was cut
+_SECTION = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\{([^{}]*)\}")
+_HEADING = re.compile(r"^\s*#{1,6}\s+|\s+#+\s*$|^\s*=+\s*|\s*=+\s*$")
+_ITEM = re.compile(r"^\s*(?:[-+*]+\s+(?:\[[ xX]\]\s+)?|\d{1,3}[.)]\s+|\\item\s*(?:\[[^\]\n]*\]\s*)?|<li[^>]*>)", re.I)
+
+
+def clean(leaves: Leaves, probability: np.ndarray, roles: np.ndarray) -> str:
+    """The text without markup, by the labels of its leaves: headings start with '# ', list items with '- ', code stands between ``` lines.
+
+    A leaf without a kind of markup stays as it is; one with a kind loses its inline marks and is written in its role; formulas keep $ or environments.
+    """
+    own = probability >= MARKED
+    text, new, old = by_lines(leaves) if own.any() else (leaves.text, [0], [0])
+    if text != leaves.text:  # a line keeps its labels unless it was cut: then its parts are labelled as texts of their own kind
         starts, lines = [a for a, _ in leaves.bounds], Leaves(text)
-        own = [max(0, bisect_right(starts, old[i] + a - new[i]) - 1) for a, _ in lines.bounds for i in (bisect_right(new, a) - 1,)]
-        counts = Counter(own)
-        leaves, roles = lines, np.array([roles[i] if counts[i] == 1 else 0 for i in own], int)
+        from_ = [max(0, bisect_right(starts, old[i] + a - new[i]) - 1) for a, _ in lines.bounds for i in (bisect_right(new, a) - 1,)]
+        counts = Counter(from_)
+        again = _labeller(MODEL).label([lines])[0]
+        roles = np.array([roles[i] if counts[i] == 1 else again[1][k] for k, i in enumerate(from_)], int)
+        own = np.array([own[i] for i in from_], bool).reshape(-1, len(KINDS))
+        leaves = lines
     out: list[str] = []
     in_code, last = False, 0
-    for (a, b), role, tags, path in zip(leaves.bounds, roles, leaves.tags, leaves.paths):
-        line = leaves.text[a:b]
-        if leaves.text[last:a].count("\n") > 1 and out and out[-1] != "" and not in_code:
-            out.append("")
+    for (a, b), role, marked, fence in zip(leaves.bounds, roles, own, leaves.fence):
+        line, name = leaves.text[a:b], ROLES[role]
+        gap = leaves.text[last:a].count("\n")
         if in_code:
-            out += [""] * (leaves.text[last:a].count("\n") - 1)
+            out += [""] * (gap - 1)
+        elif gap > 1 and out and out[-1] != "":
+            out.append("")
         last = b
-        if "markdown:fence" in tags:
+        if fence:
             out.append("```" + ("" if in_code else line.strip().strip("`~")))
             in_code = not in_code
-            continue
-        if in_code:
+        elif in_code:
             out.append(line)
-            continue
-        name = ROLES[role]
-        if path and path[-1] in ("script", "style") and "html:script" not in tags and "html:style" not in tags:
-            continue
-        if re.match(r"^\s*(?:={3,}|-{3,}|(?:[-*_]\s*){3,})\s*$", line):
-            if "markdown:setext" in tags and out and out[-1]:
-                out[-1] = "# " + out[-1].lstrip("# ")
-            continue
-        if re.match(r"^\s*(?:\{\||\|-|\|\})|^\s*\|?[\s:|-]*-{3,}[\s:|-]*$|^ {0,3}\[[^\]\n]+\]:[ \t]+\S+\s*$", line):
-            continue
-        if re.match(r"^\s*\\(?:begin|end)\{(?:itemize|enumerate|description|document|center|figure|table|quote|abstract)\}", line):
-            continue
-        if "html:h1" in tags or any(f"html:h{i}" in tags for i in range(2, 7)) or "markdown:heading" in tags or "wiki:heading" in tags or re.match(r"\s*\\(?:part|chapter|(?:sub)*section|paragraph)\*?\{", line):
-            text = re.sub(r"^\s*#{1,6}\s+|^\s*=+\s*|\s*=+\s*$|\\(?:part|chapter|(?:sub)*section|paragraph)\*?\{([^{}]*)\}", r"\1", line)
-            if text := _strip(text).strip():
-                out.append("# " + text)
-            continue
-        if "html:pre" in tags or (path and "pre" in path):
+        elif not marked.any() and name not in ("heading", "list"):
+            out.append(line.rstrip())
+        elif name == "drop":  # elements hide only themselves; what else is dropped is no text
+            if marked[0] and not marked[1:].any() and (body := _strip(line).strip()):
+                out.append(body)
+        elif name == "heading":
+            if body := _strip(_HEADING.sub("", _SECTION.sub(r"\1", line))).strip():
+                out.append("# " + body)
+        elif name == "code":
             out += ["```", html.unescape(_without_elements(line)).strip(), "```"]
-            continue
-        item = re.match(r"^\s*(?:[-+*]+\s+(?:\[[ xX]\]\s+)?|\d{1,3}[.)]\s+|\\item\s*|<li[^>]*>)", line, re.I)
-        if item and (name == "list" or tags):
-            out.append("- " + _strip(line[item.end() :]).strip())
-            continue
-        if name == "formula" or "latex:display" in tags:
+        elif name == "list":
+            out.append("- " + _strip(_ITEM.sub("", line)).strip())
+        elif name == "formula":
             out.append(line.strip())
-            continue
-        text = re.sub(r"^ {0,3}>\s?|^:+\s*|^;\s*", "", line) if tags else line
-        if name == "table" or {"markdown:table", "wiki:table"} & tags:
-            text = " | ".join(c.strip() for c in re.split(r"\|\|?|!!", text.strip().strip("|!")) if c.strip())
-        text = _strip(text).strip() if tags else text
-        if text.strip():
-            out.append(text)
+        else:
+            body = re.sub(r"^ {0,3}>\s?|^:+\s*|^;\s*", "", line)
+            if name == "table":
+                body = " | ".join(c.strip() for c in re.split(r"\|\|?|!!", _strip(body).strip().strip("|!")) if c.strip())
+            body = _strip(body).strip()
+            if body:
+                out.append(body)
     if in_code:
         out.append("```")
     return "\n".join(out).strip("\n")
@@ -589,12 +627,12 @@ def _run(model: str, fields: tuple[str, ...], found: bool):
                 leaves = [Leaves("" if code or t is None else t) for code, t in zip(is_code, column)]
                 labels = labeller.label(leaves)
                 if found:
-                    for key, own, (p, _) in zip(keys, leaves, labels):
-                        for kind in kinds_of(own, p):
+                    for key, (p, _) in zip(keys, labels):
+                        for kind in kinds_of(p):
                             for o, v in zip(out, (key, field, kind)):
                                 o.append(v)
                 else:
-                    cleaned.append([t if code or t is None else clean(own, roles) for t, code, own, (_, roles) in zip(column, is_code, leaves, labels)])
+                    cleaned.append([t if code or t is None else clean(own, p, roles) for t, code, own, (p, roles) in zip(column, is_code, leaves, labels)])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["chunk_id", "field", "kind"])
             else:
@@ -620,7 +658,7 @@ def _texts(chunks: DataFrame, sources: DataFrame, fields: tuple[str, ...]) -> Da
 def find_markup(chunks: DataFrame, sources: DataFrame, fields: tuple[str, ...] = ("content", "title"), model: str = MODEL) -> DataFrame:
     """(chunk_id, field, kind) for each kind of markup (html, markdown, wiki, latex) that occurs in a field, outside code.
 
-    The labeller proposes kinds for every leaf from its tag path, words and the document around it; exact patterns confirm.
+    The labeller gives every leaf its kinds from its tag path, signs, words and the document around it; a field has the kinds of its leaves.
     Defined results: null chunk_id: left out; null or empty text: nothing; chunks of a source whose file is code or
     configuration: nothing; unknown or null source: treated as text; a chunk stored twice: once. Whole texts are read.
     """

@@ -17,8 +17,7 @@ def labeller():
 
 
 def kinds(labeller, texts):
-    leaves = [m.Leaves(x) for x in texts]
-    return [m.kinds_of(a, p) for a, (p, _) in zip(leaves, labeller.label(leaves))]
+    return [m.kinds_of(p) for p, _ in labeller.label([m.Leaves(x) for x in texts])]
 
 
 def test_kinds(labeller):
@@ -31,24 +30,60 @@ def test_kinds(labeller):
 
 def test_held_out_accuracy(labeller):
     grammar = t.Grammar(991)
-    hit = said = true = 0
-    for _ in range(400):
-        x, y, _ = t.sample(grammar)
-        if len(x):
-            p = m._sigmoid(labeller.net.logits(x[None], np.ones((1, len(x)), np.float32))[0, :, :4]) >= 0.5
-            hit, said, true = hit + (p & (y > 0)).sum(), said + p.sum(), true + (y > 0).sum()
-    assert hit / said > 0.98 and hit / true > 0.98
+    precision, recall, roles = t.accuracy(labeller.net, [r for r in (t.sample(grammar) for _ in range(400)) if len(r[1])])
+    assert precision > 0.99 and recall > 0.99 and roles > 0.98
+
+
+#: Texts in the manner of real pages, none of them from the grammar: their kinds, and lines that the clean text must have.
+PAGES = [
+    ("html", "<article>\n<h2>Opening hours</h2>\n<p>We open at <strong>nine</strong>.</p>\n<ul>\n  <li>Monday</li>\n  <li>Friday</li>\n</ul>\n</article>", ["# Opening hours", "We open at nine.", "- Monday", "- Friday"]),
+    ("html", "Caf&eacute; &amp; bar &mdash; open late.", ["Café & bar — open late."]),
+    ("html", "<table border=1>\n<tr><td>Oslo</td><td>709</td></tr>\n</table>", ["Oslo | 709"]),
+    ("html", "Water is H<sub>2</sub>O.", ["Water is H2O."]),
+    ("markdown", "# Install\n\nDownload the [archive](https://example.org/a.zip) and **unpack** it.\n\n1. Open a shell\n2. Run the script\n", ["# Install", "Download the archive and unpack it.", "- Open a shell", "- Run the script"]),
+    ("markdown", "Changes\n-------\n\n- [x] faster start\n- [ ] *less* memory\n", ["- faster start", "- less memory"]),
+    ("markdown", "> To be or not to be\n\nsaid ~~he~~ she.", ["To be or not to be", "said he she."]),
+    ("markdown", "| City | Pop |\n|------|----:|\n| Oslo | 709 |\n", ["City | Pop", "Oslo | 709"]),
+    ("markdown", "Run `make all` first.", ["Run `make all` first."]),
+    ("markdown", "![logo](logo.svg) The logo has __three colours__ now.", ["logo The logo has three colours now."]),
+    ("wiki", "'''Oslo''' is the capital of [[Norway]].\n\n== History ==\nIt was founded in 1040.{{cn|date=May}}\n\n[[Category:Cities]]", ["Oslo is the capital of Norway.", "# History", "It was founded in 1040."]),
+    ("wiki", "{| class=wikitable\n! City !! Pop\n|-\n| Oslo || 709\n|}", ["City | Pop", "Oslo | 709"]),
+    ("wiki", ":''See also [[Bergen|the second city]].''", ["See also the second city."]),
+    ("latex", "\\section{Methods}\nWe minimise $f(x) = x^2$ over the reals~\\cite{boyd}.\n\\begin{itemize}\n\\item convex\n\\item smooth\n\\end{itemize}", ["# Methods", "We minimise $f(x) = x^2$ over the reals.", "- convex", "- smooth"]),
+    ("latex", "\\begin{equation}\n  a^2 + b^2 = c^2\n\\end{equation}\nholds for \\emph{right} triangles.", ["a^2 + b^2 = c^2", "holds for right triangles."]),
+    ("latex", "Then \\( n \\to \\infty \\) and $$ \\sum_k a_k < 1 $$", None),
+    (None, "Bob paid $5 for 3 * 4 tiles (see #12), e.g. in src/main_loop/__init__.py at 5 > 4.", None),
+    (None, "git log --oneline | grep -c 'fix_*' && echo done > out.txt", None),
+    (None, "Optional<String> name; Map<K, V> m; a[i][j] = b[j] ^ c; x != y", None),
+    (None, "C:\\temp\\new, ~/bin, R&D, AT&T, rock 'n' roll; 50% off -- today only!", None),
+]
+
+
+def test_pages_of_another_hand(labeller):
+    """Kinds and structure on pages that no grammar wrote; without the labels there are neither kinds nor clean text."""
+    leaves = [m.Leaves(x) for _, x, _ in PAGES]
+    labels = labeller.label(leaves)
+    got = [m.kinds_of(p) for p, _ in labels]
+    want = [[k] if k else [] for k, _, _ in PAGES]
+    hit = sum(len(set(a) & set(b)) for a, b in zip(got, want))
+    assert hit / sum(map(len, want)) >= 0.9 and hit / sum(map(len, got)) >= 0.9
+    lines = [(line, x, labels[i], leaves[i]) for i, (_, x, out) in enumerate(PAGES) for line in out or ()]
+    kept = [line in m.clean(own, *label).split("\n") for line, _, label, own in lines]
+    assert sum(kept) / len(kept) >= 0.9
+    off = [line in m.clean(own, np.zeros_like(label[0]), np.zeros_like(label[1])).split("\n") for line, _, label, own in lines]
+    flat = [line in m.clean(own, label[0], np.zeros_like(label[1])).split("\n") for line, _, label, own in lines]
+    assert sum(off) / len(off) <= 0.3 and sum(flat) / len(flat) <= 0.7
 
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    net = m.BiLSTM.fresh(t.TAGS + t.WORDS + t.NUMBERS, 4, 12)
+    net = m.BiLSTM.fresh(t.TAGS + t.WORDS + t.NUMBERS, 6, 4, 12)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     x = rng.standard_normal((2, 5, t.TAGS + t.WORDS + t.NUMBERS))
     mask = np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0]], float)
     y, roles = (rng.random((2, 5, 4)) > 0.5).astype(float), rng.integers(0, 8, (2, 5))
     _, g = t.gradients(net, x, mask, y, roles)
-    for k in ("Wf", "Wb", "bf", "Wo"):
+    for k in ("We", "be", "Wf", "Wb", "bf", "Wo"):
         i = tuple(rng.integers(0, s) for s in net.w[k].shape)
         old, losses = net.w[k][i], []
         for d in (1e-3, -1e-3):
@@ -67,7 +102,7 @@ def test_long_texts_in_parts(labeller):
 def test_clean(labeller):
     text = "== Top ==\nSome '''bold''' and [[A|the link]] &amp; more.\n\n# Sub\n- one\n- two **x**\n\n```py\nx = '<p>'\n```\n\\begin{itemize}\n\\item last\n\\end{itemize}\n$$ x^2 $$\n<p>Para <b>b</b></p>"
     leaves = m.Leaves(text)
-    got = m.clean(leaves, labeller.label([leaves])[0][1])
+    got = m.clean(leaves, *labeller.label([leaves])[0])
     assert got == "# Top\nSome bold and the link & more.\n\n# Sub\n- one\n- two x\n\n```py\nx = '<p>'\n```\n- last\n$$ x^2 $$\nPara b"
 
 
@@ -92,7 +127,7 @@ LONG = {
 def test_constructs_of_any_length(labeller):
     for kind, texts in LONG.items():
         for x in texts:
-            found, _ = m.evidence(f"{FILLER}\n\n{x}\n\n{FILLER}")
+            found, _ = t.evidence(f"{FILLER}\n\n{x}\n\n{FILLER}")
             assert any(k == kind and b - a > 390 and (a, b)[1] - a >= len(x) - 8 for k, _, a, b in found), x[:30]
         framed = [f"The index reads the shard before it merges.\n\n{x}\n\nThe daemon keeps the cache." for x in texts]
         assert kinds(labeller, framed) == [[kind]] * len(texts), kind
@@ -103,15 +138,15 @@ def test_constructs_of_any_length(labeller):
 def test_hostile_constructs_in_linear_time():
     from time import process_time
 
-    for text in ("<!-- " * 40_000, "{{a" * 40_000, "{{a\n" * 20_000 + "}}\n" * 20_000, "\\[ " * 60_000, "\\( " * 60_000, "$$" * 60_000):
+    for text in ("<!-- " * 40_000, "{{a" * 40_000, "{{a\n" * 20_000 + "}}\n" * 20_000, "```\n" * 20_000, "````\n" + "```\n" * 20_000, "<b>" * 40_000, "</b>" * 40_000, "<b " * 40_000, "\\[ " * 60_000, "\\( " * 60_000, "$$" * 60_000):
         at = process_time()
-        m.evidence(text)
-        assert process_time() - at < 10, text[:10]
+        m.Leaves(text)
+        assert process_time() - at < 20, text[:10]
 
 
 def cleaned(labeller, text):
     leaves = m.Leaves(text)
-    return m.clean(leaves, labeller.label([leaves])[0][1])
+    return m.clean(leaves, *labeller.label([leaves])[0])
 
 
 def test_clean_constructs_over_lines(labeller):
