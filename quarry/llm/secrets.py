@@ -19,7 +19,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern by which that public vocabulary splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters per subword: words and identifiers have more, keys and generated passwords fewer.
-UNNATURAL, VERY_UNNATURAL = 2.6, 1.9
+UNNATURAL, VERY_UNNATURAL, PLAIN = 2.6, 1.9, 5.6
 
 # Words that name a secret when a name ends with them.
 _NAMES = r"pass(?:word|wd|phrase|code|key)?|pwd|pw|secret|token|key|credentials?|bearer|api[-_. ]?key|(?:access|secret|signing|encryption|private|master|auth|account|shared|session|deploy|license|service|client|app|write|hmac|sas|storage|subscription)[-_. ]?key|auth|jwt|pat|pin|dsn[-_]?password|signature|sig"
@@ -48,6 +48,11 @@ _TAGGED = re.compile(r"(?<![\w/.+@:-])(?P<value>(?:[a-z]{2,6}(?:_(?:live|test|pa
 #: What every rule but _TAGGED needs: the words they begin with, of short ones with what must follow.
 _CUE = re.compile(r"(?i)pass|pwd|\bpw\b|-u\b|-user\b|log(?:in|ged in)[\s=:]|secret|token|key|auth|bearer|basic|cred|jwt|://|[?&;](?:x-|sig|hmac)|(?:pw|pat|pin|sig|signature)\\?[\"'`]?\]?[ \t]*+[?|:=]|(?<!\S)-[\w-]*?(?:pw|pat|pin|sig|signature)\s")
 
+#: Contexts that leave no doubt; without one, a text of natural strings has no secret.
+_STRONG = re.compile(r"(?i)pass|pwd|\bpw\b|pw\\?[\"'`]?\]?[ \t]*+[?|:=]|://|-u\b|-user\b|login|logged|auth|bearer|basic|cred|secret|token|key|jwt|(?:pat|pin|sig|hmac|signature)\b|PRIVATE KEY")
+#: Strings that the vocabulary is asked about, and the words before them that say what they are instead.
+_STRING = re.compile(r"[A-Za-z0-9+/_.~!#%^$@-]{12,}+=*")
+_NOT_SECRET = re.compile(r"(?i)(?:sha-?\d*|md5|crc|commit|hash|digest|checksum|integrity|etag|uuid|guid|\w*id|ids|trace|span|request|build|version|revision|rev|blob|object|fingerprint|public|pub|ssh-(?:rsa|ed25519)|nonce|cursor|serial|image|layer|tree|parent|ref|path|url|file|href|src|sum|signed-off-by|cache|snapshot|index|certificate|cert)\W{0,6}$")
 _OPEN = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’"}
 _BARE_END = re.compile(r"[\s\"'`,;)\]}<>|“”\\]")
 _KV_END = re.compile(r"[\s\"'`\\]|[,;](?=\s|$|[\w ]{1,40}=)")
@@ -96,24 +101,43 @@ class Finder:
     def rate(self, value: str) -> float:
         return self.known(value) if len(value) <= 1000 else self._rate(value)
 
+    def unnatural(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, rate) of every string of the text that has few characters per subword."""
+        known, out = self.known, []
+        for m in _STRING.finditer(text):
+            value = m[0]
+            rate = known(value) if len(value) <= 1000 else self._rate(value)
+            if rate < UNNATURAL:
+                out.append((m.start(), m.end(), rate))
+        return out
+
+    def bare(self, text: str, start: int, end: int, rate: float) -> bool:
+        """Whether an unnatural string that nothing names is a key: mixed characters in one run or behind a vendor's tag, and no word before it that says otherwise."""
+        value = text[start:end]
+        if not (any(map(str.isdigit, value)) and any(map(str.isupper, value))) or _PLACEHOLDER.match(value) or value.endswith((".test", ".example", ".invalid")):
+            return False
+        if start and text[start - 1] in "\\:=&?(" or text[end : end + 1] in ("(", ":", "@", "\\"):
+            return False
+        if _TAGGED.match(text, start, end):
+            return True
+        if rate >= VERY_UNNATURAL or len(value) < 20 or not any(map(str.islower, value)) or any(c in value for c in ".~!#%^$@") or value.count("/") > len(value) // 24:
+            return False
+        return not _NOT_SECRET.search(text, max(text.rfind("\n", 0, start) + 1, start - 40), start)
+
     def judged(self, kind: str, value: str) -> bool:
-        """Whether a value in a context of this kind is a secret written out."""
+        """Whether a value in a context of this kind is a secret written out: the weaker the context, the less natural the value must be."""
         if len(value) < 4 or ("\n" not in value[:-1] and _PLACEHOLDER.match(value)) or _REFERENCE.match(value) or _NUMBER.match(value) or _HEX_SUM.match(value):
             return False
         rate = self.rate(value)
-        if kind in ("password", "url", "pair", "header"):
-            return len(value) >= 6 or rate < UNNATURAL
+        if kind in ("password", "url", "pair", "header"):  # the context leaves no doubt, unless the value is a word of the language
+            return rate < (PLAIN if len(value) >= 6 else UNNATURAL)
         if kind == "said":  # prose: plainly no word
             mixed = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", r"\d", r"[^\w]|_")) > 3
             return rate < (UNNATURAL + 1 if mixed else UNNATURAL) and bool(re.search(r"\d|[A-Z]\w*[!*%^+#?]", value) or value.count("-") >= 2)
         if kind == "weak":  # names such as token or key, which also name other things
-            if _WORDY.match(value) and not (value.isalpha() and value.isupper() and len(value) >= 16 and rate < UNNATURAL):
-                return False
-            return len(value) >= 8 and (rate < UNNATURAL or value.count("-") >= 3)
+            return len(value) >= 8 and (rate < (VERY_UNNATURAL if value.isalpha() and value.islower() else UNNATURAL) or value.count("-") >= 3 and rate < PLAIN)
         if kind == "noted":
-            return len(value) >= 12 and (rate < VERY_UNNATURAL or value.count("-") >= 3) and not value.islower()
-        if kind == "tagged":
-            return rate < UNNATURAL and any(c.isdigit() for c in value) and any(c.isupper() for c in value) and not value.endswith((".test", ".example", ".invalid"))
+            return len(value) >= 12 and (rate < VERY_UNNATURAL or value.count("-") >= 3 and rate < PLAIN) and not value.islower()
         return len(value) >= 12 and rate < UNNATURAL  # signed
 
     def value_at(self, text: str, at: int, sep: str) -> tuple[int, int]:
@@ -151,11 +175,13 @@ class Finder:
             if end > start and found.get(start, (0, ""))[0] < end:
                 found[start] = end, kind
 
-        if _CUE.search(text):
-            self.named(text, add)
-        for m in _TAGGED.finditer(text):
-            if self.judged("tagged", m["value"]):
-                add(*m.span("value"), "key")
+        strange = self.unnatural(text)
+        if strange or _STRONG.search(text):
+            if _CUE.search(text):
+                self.named(text, add)
+            for start, end, rate in strange:
+                if self.bare(text, start, end, rate):
+                    add(start, end, "key")
         out: list[tuple[int, int, str]] = []
         for start, (end, kind) in sorted(found.items(), key=lambda x: (x[0], -x[1][0])):
             if not out or start >= out[-1][1]:
