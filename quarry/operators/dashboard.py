@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import SECONDS, id_block, with_carried, with_previous
 from quarry.tables import normal_type
 
 UNKNOWN = "__unknown__"
+# Types, categories and names of the log.
 #: Types that are context, not tool use.
 CONTEXT_TYPES = ("rule", "rule_content", "user_prompt", "intent", "data", "role", "cwd")
 #: Categories and the types they count.
@@ -99,9 +101,14 @@ def bytes_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def is_commit() -> Column:
+    """A commit: a git record whose data is that operation or a command that does it; other git records don't count."""
+    return (F.col("type") == "git") & F.rlike(F.lower("data"), F.lit(r"^\s*commit\s*$|\bgit\b[^|;&]*\bcommit\b"))
+
+
 def time_to_commit(events: DataFrame, meta: DataFrame) -> DataFrame:
     """Minutes from a session's start to its first commit."""
-    first = events.where(is_type("git", "git_commit")).groupBy("session_id").agg(F.min("created_at").alias("first"))
+    first = events.where(is_commit()).groupBy("session_id").agg(F.min("created_at").alias("first"))
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return meta.join(first, "session_id").where("started_at is not null and first is not null").select("session_id", half_up((us("first") - us("started_at")) / 6e7, 1).alias("minutes"))
 
@@ -111,10 +118,10 @@ def session_durations(meta: DataFrame) -> DataFrame:
     return meta.where("started_at is not null and last_event_at is not null").select("session_id", "event_count", "compact_count", half_up((us("last_event_at") - us("started_at")) / 6e7, 1).alias("duration_min"))
 
 
-def edit_test_cycles(events: DataFrame) -> DataFrame:
-    """Per session, how often a write is directly followed by an error: the next record of the session, not a self join."""
-    after = F.lead("type").over(Window.partitionBy("session_id").orderBy("id"))
-    return events.select("session_id", "type", after.alias("next")).where("type in ('file_write', 'file_edit') and next in ('error_tool', 'error')").groupBy("session_id").agg(F.count("*").alias("cycles"))
+def edit_test_cycles(events: DataFrame, width: int | None = None) -> DataFrame:
+    """Per session, how often a written file is directly followed by a tool's error: the record before, not a self join."""
+    rows = with_previous(events.select("session_id", "id", "type"), ["session_id"], ["id"], id_block(*([width] if width else [])), F.col("type"), "before")
+    return rows.where("before = 'file_write' and type = 'error_tool'").groupBy("session_id").agg(F.count("*").alias("cycles"))
 
 
 def rework(events: DataFrame) -> DataFrame:
@@ -122,7 +129,7 @@ def rework(events: DataFrame) -> DataFrame:
 
 
 def commits_per_session(events: DataFrame, meta: DataFrame) -> DataFrame:
-    git = events.where(is_type("git", "git_commit")).groupBy("session_id").agg(F.count("*").alias("commits"), F.max("project_dir").alias("git_project"))
+    git = events.where(is_type("git")).groupBy("session_id").agg(count_if(is_commit()).alias("commits"), F.max("project_dir").alias("git_project"))
     project = F.coalesce(F.nullif(F.col("git_project"), F.lit("")), F.nullif(F.col("project_dir"), F.lit("")), F.lit(UNKNOWN))
     return meta.join(git, "session_id", "left").select("session_id", project.alias("project"), F.coalesce("commits", F.lit(0)).alias("commits"))
 
@@ -214,12 +221,15 @@ def latency_by_tool(events: DataFrame) -> DataFrame:
 
 
 def latency_p95(events: DataFrame) -> DataFrame:
-    """Mean and the value at index floor(0.95 n) of all durations, by counting values instead of collecting them."""
+    """Mean and the value at index floor(0.95 n) of all durations. Values are counted; of each thousand of values only the total is ordered as a whole, then those of the thousand that holds the index."""
     rows = events.select(F.regexp_extract("data", r"(?:^|\s)duration_ms:(\d{1,15})(?:\s|$)", 1).alias("ms")).where("ms <> ''").select(F.col("ms").cast("long").alias("ms"))
-    counts = rows.groupBy("ms").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).scalar()
-    below = counts.withColumn("upto", F.sum("n").over(Window.orderBy("ms")))
-    p95 = below.where(F.col("upto") > F.floor(total * 0.95)).agg(F.min("ms").alias("ms")).scalar()
+    counts = rows.groupBy("ms").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.log2(F.col("ms") + 1) * 64))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n"))
+    total = blocks.agg(F.sum("n").alias("n")).scalar()
+    ahead = blocks.select("block", "n", F.sum("n").over(Window.orderBy("block")).alias("upto"))
+    hit = ahead.where(F.col("upto") > F.floor(total * 0.95)).agg(F.min_by(F.struct("block", (F.col("upto") - F.col("n")).alias("before")), "block").alias("h"))
+    inside = counts.join(F.broadcast(hit.select("h.block", "h.before")), "block").select("ms", (F.col("before") + F.sum("n").over(Window.orderBy("ms"))).alias("upto"))
+    p95 = inside.where(F.col("upto") > F.floor(total * 0.95)).agg(F.min("ms").alias("ms")).scalar()
     return counts.agg(F.sum("n").alias("samples"), half_up(F.sum(F.col("ms") * F.col("n")) / F.sum("n")).cast("long").alias("avg_ms")).withColumn("p95_ms", p95)
 
 
@@ -252,10 +262,11 @@ def attribution_summary(events: DataFrame) -> DataFrame:
     return t.select("total", "unknown", ratio(F.col("unknown"), F.col("total")).alias("unknown_pct"), ratio(F.round("c", 4), F.col("total")).alias("confidence_pct"), ratio(F.col("high"), F.col("total")).alias("high_pct"))
 
 
-def carried_project(events: DataFrame) -> DataFrame:
-    """Each record's project, or the last one named earlier in its session: per project the records it gets."""
-    last = F.last(F.nullif(F.col("project_dir"), F.lit("")), ignorenulls=True).over(Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return events.select(F.coalesce(last, F.lit(UNKNOWN)).alias("project")).groupBy("project").agg(F.count("*").alias("events"))
+def carried_project(events: DataFrame, width: int | None = None) -> DataFrame:
+    """Each record's project, or the last one named earlier in its session: per project the records it gets. Null sessions are left out."""
+    own = F.nullif(F.col("project_dir"), F.lit(""))
+    rows = with_carried(events.select("session_id", "id", "project_dir"), ["session_id"], ["id"], id_block(*([width] if width else [])), own, "last")
+    return rows.groupBy(F.coalesce("last", F.lit(UNKNOWN)).alias("project")).agg(F.count("*").alias("events"))
 
 
 def hourly(events: DataFrame) -> DataFrame:
@@ -282,13 +293,14 @@ def sessions_by_date(meta: DataFrame) -> DataFrame:
     return meta.where("started_at is not null").groupBy(F.date_format("started_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("sessions"), F.sum("event_count").alias("events"), F.sum("compact_count").alias("compacts"))
 
 
-def bursts(events: DataFrame, gap_s: int = 30, types: tuple[str, ...] = ("subagent_launched", "subagent_completed")) -> DataFrame:
-    """Runs of records of a session whose gaps are at most gap_s seconds: start, size, seconds; runs of one are kept."""
-    w = Window.partitionBy("session_id").orderBy("at", "id")
-    rows = events.where(is_type(*types) & F.col("created_at").isNotNull()).select("session_id", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
-    new = F.when(F.col("at") - F.lag("at").over(w) <= gap_s * 1_000_000, 0).otherwise(1)
-    run = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return run.groupBy("session_id", "run").agg(F.min("id").alias("first_id"), F.count("*").alias("size"), ((F.max("at") - F.min("at")) / 1e6).alias("seconds"))
+def bursts(events: DataFrame, gap_s: int = 30, types: tuple[str, ...] = ("subagent_launched", "subagent_completed"), keys: tuple[str, ...] = ("session_id",), block_s: int = SECONDS) -> DataFrame:
+    """Runs of records of a session (without keys: of all records) whose gaps are at most gap_s seconds: first_id, size, seconds; runs of one are kept."""
+    rows = events.where(is_type(*types) & F.col("created_at").isNotNull()).select(*keys, "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    block = F.floor(F.col("at") / (block_s * 1_000_000))
+    rows = with_previous(rows, keys, ["at", "id"], block, F.col("at"), "before")
+    start = F.when(F.col("before").isNull() | (F.col("at") - F.col("before") > gap_s * 1_000_000), F.struct("at", "id"))
+    runs = with_carried(rows, keys, ["at", "id"], block, start, "run")
+    return runs.groupBy(*keys, "run").agg(F.min("id").alias("first_id"), F.count("*").alias("size"), ((F.max("at") - F.min("at")) / 1e6).alias("seconds")).drop("run")
 
 
 def burst_summary(found: DataFrame) -> DataFrame:
@@ -362,18 +374,27 @@ def file_churn(events: DataFrame) -> DataFrame:
 
 
 def scores(events: DataFrame, meta: DataFrame) -> DataFrame:
-    """Composite scores from 0 to 100 and a flag for too little data."""
+    """Four composite scores from 0 to 100 and a flag for too little data."""
     c = F.col
+    own = lambda *types: F.count_distinct(F.when((c("category") == "file") & is_type(*types) & (c("data") != ""), c("data")))
     t = events.agg(
-        F.count("*").alias("events"), F.count_distinct(F.when(F.col("category") == "git", F.col("session_id"))).alias("commit_sessions"), count_if(is_type("subagent_launched")).alias("launched"), count_if(F.col("category") == "error").alias("errors"),
-        count_if(is_type("error_resolved")).alias("resolved"), F.count_distinct(F.when((F.col("category") == "file") & is_type("file_write", "file_edit"), F.col("data"))).alias("edited"), F.count_distinct(F.when((F.col("category") == "file") & is_type("file_read"), F.col("data"))).alias("read"),
-    )
-    t = t.withColumn("sessions", meta.agg(F.count("*").alias("n")).scalar()).withColumn("storms", retry_storms(events).agg(F.count("*").alias("n")).scalar())
+        F.count("*").alias("events"), F.count_distinct(F.when(is_commit(), c("session_id"))).alias("commit_sessions"), count_if(is_type("subagent_launched")).alias("launched"), count_if(is_type("subagent_completed")).alias("done"),
+        count_if(c("category") == "error").alias("errors"), count_if(is_type("error_resolved")).alias("resolved"), own("file_write", "file_edit").alias("edited"), own("file_read").alias("read"), count_if(c("category") == "agent-finding").alias("findings"),
+        F.count_distinct(F.when(is_type("rule") & (c("data") != ""), c("data"))).alias("rules"), F.count_distinct(F.when((c("category") == "skill") & (c("data") != ""), c("data"))).alias("skills"),
+        count_if(is_type("plan_approved")).alias("approved"), count_if(is_type("plan_rejected")).alias("rejected"), F.count_distinct(F.when(is_type("intent") & (c("data") != ""), c("data"))).alias("modes"),
+    )
+    found = bursts(events, 30, keys=())
+    t = t.withColumns({"sessions": meta.agg(F.count("*").alias("n")).scalar(), "storms": retry_storms(events).agg(F.count("*").alias("n")).scalar(), "parallel": found.where("size >= 2").agg(F.count("*").alias("n")).scalar()})
     pct = lambda a, b: F.when(b > 0, a * 100.0 / b).otherwise(0.0)
     resolution = ratio(c("resolved"), c("errors"))
-    productivity = F.least(F.lit(100), half_up(pct(c("commit_sessions"), c("sessions")) * 0.3 + F.least(F.lit(100.0), pct(c("launched"), c("sessions"))) * 0.2 + (100 - F.least(F.lit(100.0), pct(c("edited"), c("read")))) * 0.2 + resolution * 0.3))
-    quality = F.least(F.lit(100), half_up(F.when(c("errors") == 0, 100.0).otherwise(resolution) * 0.4 + (100 - pct(c("storms"), c("sessions"))) * 0.3 + (100 - pct(c("errors"), c("events"))) * 0.3))
-    return t.select(productivity.cast("long").alias("productivity"), quality.cast("long").alias("quality"), ((c("events") < 50) | (c("sessions") < 3)).alias("insufficient"))
+    capped = lambda x: F.least(F.lit(100), half_up(x)).cast("long")
+    productivity = pct(c("commit_sessions"), c("sessions")) * 0.3 + F.least(F.lit(100.0), pct(c("launched"), c("sessions"))) * 0.2 + (100 - F.least(F.lit(100.0), pct(c("edited"), c("read")))) * 0.2 + resolution * 0.3
+    quality = F.when(c("errors") == 0, 100.0).otherwise(resolution) * 0.4 + (100 - pct(c("storms"), c("sessions"))) * 0.3 + (100 - pct(c("errors"), c("events"))) * 0.3
+    done = F.when(c("launched") > 0, F.least("done", "launched")).otherwise(c("done"))
+    delegation = ratio(done, c("launched")) * 0.5 + F.when(c("parallel") > 0, 30.0).otherwise(0.0) + F.least(c("findings") / 5, F.lit(1.0)) * 20
+    approval = F.when(c("approved") + c("rejected") > 0, ratio(c("approved"), c("approved") + c("rejected"))).otherwise(50.0)
+    health = F.when(c("rules") > 0, 30.0).otherwise(0.0) + F.least(c("skills") * 20, F.lit(100)) * 0.2 + approval * 0.25 + F.when(c("modes") > 1, 25.0).otherwise(12.5)
+    return t.select(capped(productivity).alias("productivity"), capped(quality).alias("quality"), capped(delegation).alias("delegation"), capped(health).alias("context_health"), ((c("events") < 50) | (c("sessions") < 3)).alias("insufficient"))
 
 
 def savings(events: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import IDS, id_block, with_carried
+
 Step = Callable[[Any, dict], tuple[Any, list[dict]]]
 
 
@@ -58,16 +60,21 @@ def loop_step(state: list | None, row: dict, least: int = 3, most: int = 50) ->
     return state, []
 
 
-def resolution_step(state: dict | None, row: dict, within: int = 10) -> tuple[dict | None, list[dict]]:
-    """After an error the first record of success within `within` records: the pair of ids."""
-    if row["category"] == "error":
-        return {"id": row["id"], "left": within}, []
-    if state is None:
-        return None, []
-    if row["type"] in ("file_edit", "file_write", "bash_outcome"):
-        return None, [{"session_id": row["session_id"], "error_id": state["id"], "id": row["id"], "after": within - state["left"] + 1}]
-    left = state["left"] - 1
-    return ({"id": state["id"], "left": left} if left > 0 else None), []
+def resolution_step(state: dict | None, row: dict, within: int = 10) -> tuple[dict, list[dict]]:
+    """After an error, the first success of the same tool (or a write after a failed read) among the next `within` records: the pair of ids.
+
+    An error that names no tool is that of the last call before it.
+    """
+    state = state or {"last": "", "error": None}
+    if row["category"] == "error" and row["type"] != "error_resolved":
+        return state | {"error": [row["id"], row["tool"] or state["last"], within]}, []
+    state = state | {"last": row["tool"]}
+    if state["error"] is None:
+        return state, []
+    at, tool, left = state["error"]
+    if row["tool"] == tool or tool == "read" and row["tool"] in ("edit", "write"):
+        return state | {"error": None}, [{"session_id": row["session_id"], "error_id": at, "id": row["id"], "after": within - left + 1}]
+    return state | {"error": [at, tool, left - 1] if left > 1 else None}, []
 
 
 def flood_step(state: dict | None, row: dict, seconds: int = 60, soft: int = 3, hard: int = 8) -> tuple[dict, list[dict]]:
@@ -80,13 +87,15 @@ def flood_step(state: dict | None, row: dict, seconds: int = 60, soft: int = 3,
     return state, [{"session_id": row["session_id"], "id": row["id"], "n": state["n"], "verdict": verdict}]
 
 
-def carry_step(state: str | None, row: dict, least: float = 0.55) -> tuple[str | None, list[dict]]:
-    """The project of a record, or of the last record that named one with enough confidence."""
-    own = row["project_dir"] or None
-    confidence = row["attribution_confidence"]
-    if own and confidence == confidence and (confidence or 0) >= least:
-        state = own
-    return state, [{"session_id": row["session_id"], "id": row["id"], "project": own or state, "carried": own is None and state is not None}]
+def carry_step(state: list | None, row: dict, least: float = 0.55, sure: float = 0.9) -> tuple[list, list[dict]]:
+    """The project of a record; without one, the last that a record named surely, else the last that one named with enough confidence."""
+    state = state or [None, None]
+    own, c = row["project_dir"] or None, row["attribution_confidence"]
+    c = c if c is not None and c == c else 0
+    if own:
+        state = [own if c >= sure else state[0], own if c >= least else state[1]]
+    project = own or state[0] or state[1]
+    return state, [{"session_id": row["session_id"], "id": row["id"], "project": project, "carried": own is None and project is not None}]
 
 
 def evict_step(state: list | None, row: dict, most: int = 1000) -> tuple[list, list[dict]]:
@@ -108,8 +117,15 @@ def retry_loops(events: DataFrame, least: int = 3) -> DataFrame:
     return scan(events, "session_id", "id", lambda s, r: loop_step(s, r, least), "session_id string, id long, type string, run long", ["type", "data_hash"])
 
 
+def tool_of() -> Column:
+    """The tool of a record: the one its data names, else that of its type."""
+    named = F.lower(F.regexp_extract("data", r"(?i)(?:^|[\s,|;])tool:\s*([^\s,|;]+)", 1))
+    by_type = F.coalesce(*[F.when(F.col("type") == t, n) for t, n in (("file_read", "read"), ("file_write", "write"), ("file_edit", "edit"), ("bash_outcome", "bash"), ("error_tool", ""))], F.col("type"))
+    return F.when(named != "", named).otherwise(by_type)
+
+
 def resolved_errors(events: DataFrame, within: int = 10) -> DataFrame:
-    return scan(events, "session_id", "id", lambda s, r: resolution_step(s, r, within), "session_id string, error_id long, id long, after long", ["type", "category"])
+    return scan(events.withColumn("tool", tool_of()), "session_id", "id", lambda s, r: resolution_step(s, r, within), "session_id string, error_id long, id long, after long", ["type", "category", "tool"])
 
 
 def flood_verdicts(events: DataFrame, seconds: int = 60, soft: int = 3, hard: int = 8) -> DataFrame:
@@ -118,8 +134,13 @@ def flood_verdicts(events: DataFrame, seconds: int = 60, soft: int = 3, hard: in
     return scan(timed, "session_id", "seq", lambda s, r: flood_step(s, r, seconds, soft, hard), "session_id string, id long, n long, verdict string", ["id", "at"])
 
 
-def carried_projects(events: DataFrame, least: float = 0.55) -> DataFrame:
-    return scan(events, "session_id", "id", lambda s, r: carry_step(s, r, least), "session_id string, id long, project string, carried boolean", ["project_dir", "attribution_confidence"])
+def carried_projects(events: DataFrame, least: float = 0.55, sure: float = 0.9, width: int = IDS) -> DataFrame:
+    """carry_step for stored records, as windows over blocks of a session."""
+    own, c = F.nullif(F.col("project_dir"), F.lit("")), F.col("attribution_confidence")
+    rows = with_carried(events.select("session_id", "id", "project_dir", "attribution_confidence"), ["session_id"], ["id"], id_block(width), F.when(c >= sure, own), "__sure")
+    rows = with_carried(rows, ["session_id"], ["id"], id_block(width), F.when(c >= least, own), "__likely")
+    before = F.coalesce("__sure", "__likely")
+    return rows.select("session_id", "id", F.coalesce(own, before).alias("project"), (own.isNull() & before.isNotNull()).alias("carried"))
 
 
 def evicted_events(events: DataFrame, most: int = 1000) -> DataFrame:

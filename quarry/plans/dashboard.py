@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import dashboard as d
+from quarry.plans.columns import READS
 from quarry.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,22 +15,17 @@ ORACLE: dict[str, str] = {}
 
 #: Records with one row per id and types in normal form.
 E = "WITH e AS (SELECT DISTINCT * REPLACE (replace(lower(trim(type)), '-', '_') AS type) FROM session_events WHERE id IS NOT NULL)"
-_N = "CAST({} AS BIGINT)"
+_COMMIT = "type = 'git' AND regexp_matches(lower(data), '^\\s*commit\\s*$|\\bgit\\b[^|;&]*\\bcommit\\b')"
 
 
-def columns_in(sql: str) -> list[str]:
-    """The columns of session_events that a query reads, by the names in its SQL."""
-    names = set(re.findall(r"\w+", sql))
-    return [c for c in ("session_id", "type", "category", "priority", "data", "project_dir", "attribution_source", "attribution_confidence", "bytes_avoided", "bytes_returned", "source_hook", "created_at", "data_hash") if c in names]
-
-
-def _events(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    return d.clean_events(table(spark, sf, "session_events"), columns_in(sql))
+def events_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The records with the columns that the query of this name reads."""
+    return d.clean_events(table(spark, sf, "session_events"), READS[name].split())
 
 
 def _add(name: str, make: Callable[..., DataFrame], sql: str, *more: str) -> None:
     """A query over records (and the other tables named)."""
-    QUERIES[name] = lambda spark, sf: make(_events(spark, sf, sql), *[table(spark, sf, t) for t in more])
+    QUERIES[name] = lambda spark, sf: make(events_of(spark, sf, name), *[table(spark, sf, t) for t in more])
     ORACLE[name] = f"{E} {sql}" if not sql.startswith(",") else E + sql
 
 
@@ -65,18 +60,18 @@ _add("f05_project_sessions", d.project_sessions, "SELECT DISTINCT regexp_replace
 _add("a07_bytes_summary", d.bytes_summary, "SELECT session_id, CAST(coalesce(sum(bytes_avoided), 0) AS BIGINT) AS avoided, CAST(coalesce(sum(bytes_returned), 0) AS BIGINT) AS returned, CAST(sum(length(data)) AS BIGINT) AS data_chars FROM e GROUP BY 1")
 _add(
     "a24_time_to_commit", d.time_to_commit,
-    f", c AS (SELECT session_id, min(created_at) AS f FROM e WHERE type IN ('git', 'git_commit') GROUP BY 1) SELECT session_id, {_up('(epoch_us(f) - epoch_us(started_at)) / 6e7', 1)} AS minutes FROM session_meta JOIN c USING (session_id) WHERE started_at IS NOT NULL AND f IS NOT NULL",
+    f", c AS (SELECT session_id, min(created_at) AS f FROM e WHERE {_COMMIT} GROUP BY 1) SELECT session_id, {_up('(epoch_us(f) - epoch_us(started_at)) / 6e7', 1)} AS minutes FROM session_meta JOIN c USING (session_id) WHERE started_at IS NOT NULL AND f IS NOT NULL",
     "session_meta",
 )
 _meta("a19_session_durations", d.session_durations, f"SELECT session_id, event_count, compact_count, {_up('(epoch_us(last_event_at) - epoch_us(started_at)) / 6e7', 1)} AS duration_min FROM session_meta WHERE started_at IS NOT NULL AND last_event_at IS NOT NULL")
 _add(
     "j04_edit_test_cycles", d.edit_test_cycles,
-    ", n AS (SELECT session_id, type, lead(type) OVER (PARTITION BY session_id ORDER BY id) AS next FROM e) SELECT session_id, count(*) AS cycles FROM n WHERE type IN ('file_write', 'file_edit') AND next IN ('error_tool', 'error') GROUP BY 1",
+    ", n AS (SELECT session_id, type, lead(type) OVER (PARTITION BY session_id ORDER BY id) AS next FROM e WHERE session_id IS NOT NULL) SELECT session_id, count(*) AS cycles FROM n WHERE type = 'file_write' AND next = 'error_tool' GROUP BY 1",
 )
 _add("a25_rework", d.rework, "SELECT session_id, data, count(*) AS edits FROM e WHERE type IN ('file_write', 'file_read') AND data <> '' GROUP BY 1, 2 HAVING count(*) > 1")
 _add(
     "a31_commits_per_session", d.commits_per_session,
-    """, g AS (SELECT session_id, count(*) AS n, max(project_dir) AS p FROM e WHERE type IN ('git', 'git_commit') GROUP BY 1)
+    f""", g AS (SELECT session_id, CAST(sum(CASE WHEN {_COMMIT} THEN 1 ELSE 0 END) AS BIGINT) AS n, max(project_dir) AS p FROM e WHERE type = 'git' GROUP BY 1)
     SELECT m.session_id, coalesce(nullif(g.p, ''), nullif(m.project_dir, ''), '__unknown__') AS project, coalesce(g.n, 0) AS commits FROM session_meta m LEFT JOIN g USING (session_id)""",
     "session_meta",
 )
@@ -141,7 +136,7 @@ _add(
 )
 _add(
     "a28_carried_project", d.carried_project,
-    ", c AS (SELECT coalesce(last_value(nullif(project_dir, '') IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '__unknown__') AS project FROM e) SELECT project, count(*) AS events FROM c GROUP BY 1",
+    ", c AS (SELECT coalesce(last_value(nullif(project_dir, '') IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '__unknown__') AS project FROM e WHERE session_id IS NOT NULL) SELECT project, count(*) AS events FROM c GROUP BY 1",
 )
 _add("a29_hourly", d.hourly, "SELECT CAST(hour(created_at) AS INTEGER) AS hour, count(*) AS events FROM e WHERE created_at IS NOT NULL GROUP BY 1")
 _meta("a30_weekly", d.weekly, "SELECT strftime(started_at, '%Y-W%W') AS week, count(*) AS sessions, CAST(sum(event_count) AS BIGINT) AS events FROM session_meta WHERE started_at IS NOT NULL GROUP BY 1")
@@ -150,17 +145,22 @@ _add(
     f", t AS (SELECT strftime(created_at, '%Y-W%W') AS week, CAST(sum(CASE WHEN type = 'error_tool' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(*) AS total FROM e WHERE created_at IS NOT NULL GROUP BY 1) SELECT week, errors, total, {_pct('errors', 'total')} AS error_rate FROM t",
 )
 _meta("a19_sessions_by_date", d.sessions_by_date, "SELECT strftime(started_at, '%Y-%m-%d') AS day, count(*) AS sessions, CAST(sum(event_count) AS BIGINT) AS events, CAST(sum(compact_count) AS BIGINT) AS compacts FROM session_meta WHERE started_at IS NOT NULL GROUP BY 1")
-_BURSTS = """, b AS (SELECT session_id, id, created_at AS ts, CASE WHEN epoch_us(created_at) - epoch_us(lag(created_at) OVER w) <= {gap} * 1000000 THEN 0 ELSE 1 END AS new FROM e WHERE {where} AND created_at IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)),
+_BURSTS = """, b AS (SELECT session_id, id, created_at AS ts, CASE WHEN epoch_us(created_at) - epoch_us(lag(created_at) OVER w) <= {gap} * 1000000 THEN 0 ELSE 1 END AS new FROM e WHERE {where} AND created_at IS NOT NULL AND session_id IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)),
     r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY session_id ORDER BY ts, id) AS BIGINT) AS run FROM b),
     g AS (SELECT session_id, run, min(id) AS first_id, count(*) AS size, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM r GROUP BY 1, 2) """
 _SUB = "type IN ('subagent_launched', 'subagent_completed')"
-_add("a26_subagent_bursts", d.bursts, _BURSTS.format(gap=30, where=_SUB) + "SELECT * FROM g")
-_add("w05_file_bursts", lambda e: d.bursts(e, 600, ("file_read", "file_edit", "file_write")), _BURSTS.format(gap=600, where="type IN ('file_read', 'file_edit', 'file_write')") + "SELECT * FROM g")
+_add("a26_subagent_bursts", d.bursts, _BURSTS.format(gap=30, where=_SUB) + "SELECT session_id, first_id, size, seconds FROM g")
+_add("w05_file_bursts", lambda e: d.bursts(e, 600, ("file_read", "file_edit", "file_write")), _BURSTS.format(gap=600, where="type IN ('file_read', 'file_edit', 'file_write')") + "SELECT session_id, first_id, size, seconds FROM g")
 _add(
     "a26_burst_summary", lambda e: d.burst_summary(d.bursts(e, 600, ("file_read", "file_edit", "file_write"))),
     _BURSTS.format(gap=600, where="type IN ('file_read', 'file_edit', 'file_write')")
     + "SELECT CAST(sum(size) AS BIGINT) AS total, CAST(sum(CASE WHEN size >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS bursts, max(size) AS largest, CAST(sum(CASE WHEN size >= 2 THEN size ELSE 0 END) AS BIGINT) AS parallel, CAST(sum(CASE WHEN size < 2 THEN size ELSE 0 END) AS BIGINT) AS sequential, CAST(sum(CASE WHEN size >= 2 THEN (size - 1) * 2 ELSE 0 END) AS BIGINT) AS saved_min FROM g",
 )
+_add(
+    "a26_global_bursts", lambda e: d.bursts(e, 30, keys=()),
+    f""", b AS (SELECT id, created_at AS ts, CASE WHEN epoch_us(created_at) - epoch_us(lag(created_at) OVER (ORDER BY created_at, id)) <= 30000000 THEN 0 ELSE 1 END AS new FROM e WHERE {_SUB} AND created_at IS NOT NULL),
+    r AS (SELECT *, sum(new) OVER (ORDER BY ts, id) AS run FROM b) SELECT min(id) AS first_id, count(*) AS size, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM r GROUP BY run""",
+)
 _add(
     "a18_overview", d.overview,
     "SELECT 'events' AS what, count(*) AS n FROM e UNION ALL SELECT 'sessions', count(*) FROM session_meta UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'chunks', count(DISTINCT chunk_id) FROM chunks",
@@ -201,12 +201,17 @@ _CHURN = "count(DISTINCT CASE WHEN type IN ('file_write', 'file_edit') THEN data
 _add("a39_file_churn", d.file_churn, f", t AS (SELECT {_CHURN} FROM e WHERE category = 'file' AND data <> '') SELECT *, {_pct('edited', 'read', '1.0', 2)} AS churn FROM t")
 _add(
     "a40_scores", d.scores,
-    f""", t AS (SELECT count(*) AS ev, count(DISTINCT CASE WHEN category = 'git' THEN session_id END) AS cs, {_sum("type = 'subagent_launched'")} AS launched, {_sum("category = 'error'")} AS errors, {_sum("type = 'error_resolved'")} AS resolved,
-      count(DISTINCT CASE WHEN category = 'file' AND type IN ('file_write', 'file_edit') THEN data END) AS edited, count(DISTINCT CASE WHEN category = 'file' AND type = 'file_read' THEN data END) AS rd FROM e),
+    f""", t AS (SELECT count(*) AS ev, count(DISTINCT CASE WHEN {_COMMIT} THEN session_id END) AS cs, {_sum("type = 'subagent_launched'")} AS launched, {_sum("type = 'subagent_completed'")} AS done0, {_sum("category = 'error'")} AS errors, {_sum("type = 'error_resolved'")} AS resolved,
+      count(DISTINCT CASE WHEN category = 'file' AND type IN ('file_write', 'file_edit') AND data <> '' THEN data END) AS edited, count(DISTINCT CASE WHEN category = 'file' AND type = 'file_read' AND data <> '' THEN data END) AS rd, {_sum("category = 'agent-finding'")} AS findings,
+      count(DISTINCT CASE WHEN type = 'rule' AND data <> '' THEN data END) AS rules, count(DISTINCT CASE WHEN category = 'skill' AND data <> '' THEN data END) AS skills, {_sum("type = 'plan_approved'")} AS approved, {_sum("type = 'plan_rejected'")} AS rejected, count(DISTINCT CASE WHEN type = 'intent' AND data <> '' THEN data END) AS modes FROM e),
+    b AS (SELECT created_at AS ts, id, CASE WHEN epoch_us(created_at) - epoch_us(lag(created_at) OVER (ORDER BY created_at, id)) <= 30000000 THEN 0 ELSE 1 END AS new FROM e WHERE {_SUB} AND created_at IS NOT NULL),
+    r AS (SELECT sum(new) OVER (ORDER BY ts, id) AS run FROM b), p AS (SELECT count(*) AS parallel FROM (SELECT run FROM r GROUP BY run HAVING count(*) >= 2)),
     m AS (SELECT count(*) AS s FROM session_meta), w AS (SELECT count(*) AS storms FROM (SELECT session_id FROM e WHERE category = 'iteration-loop' OR type = 'retry_detected' GROUP BY 1 HAVING count(*) > 3)),
-    u AS (SELECT *, {_pct('resolved', 'errors')} AS res FROM t, m, w)
+    u AS (SELECT *, {_pct('resolved', 'errors')} AS res, CASE WHEN launched > 0 THEN least(done0, launched) ELSE done0 END AS done FROM t, m, w, p)
     SELECT CAST(least(100, floor(CASE WHEN s > 0 THEN cs * 100.0 / s ELSE 0 END * 0.3 + least(100.0, CASE WHEN s > 0 THEN launched * 100.0 / s ELSE 0 END) * 0.2 + (100 - least(100.0, CASE WHEN rd > 0 THEN edited * 100.0 / rd ELSE 0 END)) * 0.2 + res * 0.3 + 0.5)) AS BIGINT) AS productivity,
-      CAST(least(100, floor(CASE WHEN errors = 0 THEN 100.0 ELSE res END * 0.4 + (100 - CASE WHEN s > 0 THEN storms * 100.0 / s ELSE 0 END) * 0.3 + (100 - CASE WHEN ev > 0 THEN errors * 100.0 / ev ELSE 0 END) * 0.3 + 0.5)) AS BIGINT) AS quality, (ev < 50 OR s < 3) AS insufficient FROM u""",
+      CAST(least(100, floor(CASE WHEN errors = 0 THEN 100.0 ELSE res END * 0.4 + (100 - CASE WHEN s > 0 THEN storms * 100.0 / s ELSE 0 END) * 0.3 + (100 - CASE WHEN ev > 0 THEN errors * 100.0 / ev ELSE 0 END) * 0.3 + 0.5)) AS BIGINT) AS quality,
+      CAST(least(100, floor({_pct('done', 'launched')} * 0.5 + CASE WHEN parallel > 0 THEN 30.0 ELSE 0 END + least(findings / 5.0, 1.0) * 20 + 0.5)) AS BIGINT) AS delegation,
+      CAST(least(100, floor(CASE WHEN rules > 0 THEN 30.0 ELSE 0 END + least(skills * 20, 100) * 0.2 + CASE WHEN approved + rejected > 0 THEN {_pct('approved', 'approved + rejected')} ELSE 50.0 END * 0.25 + CASE WHEN modes > 1 THEN 25.0 ELSE 12.5 END + 0.5)) AS BIGINT) AS context_health, (ev < 50 OR s < 3) AS insufficient FROM u""",
     "session_meta",
 )
 _add(

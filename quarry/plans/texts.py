@@ -9,23 +9,19 @@ from pyspark.sql import functions as F
 
 from quarry.functions.words import STOPWORDS, query_terms, vocabulary_words
 from quarry.operators import chunking, extract, state
-from quarry.operators.dashboard import clean_events
 from quarry.operators.search import unique_chunks
-from quarry.plans.dashboard import E, columns_in
+from quarry.plans.dashboard import E, events_of
 from quarry.sources import store, web
 from quarry.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: What the operators without SQL read of the records.
-STATE_COLUMNS = "session_id type data_hash category priority project_dir attribution_confidence created_at data"
 _C = "c AS (SELECT DISTINCT chunk_id, source_id, coalesce(title, '') AS title, coalesce(content, '') AS content, content_type FROM chunks WHERE chunk_id IS NOT NULL)"
 
 
 def _add(name: str, make: Callable[..., DataFrame], sql: str | None, *tables: str) -> None:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        reads = columns_in((sql or STATE_COLUMNS).removeprefix(E))
-        return make(*[clean_events(table(spark, d, t), reads) if t == "session_events" else unique_chunks(table(spark, d, t)) if t == "chunks" else table(spark, d, t) for t in tables])
+        return make(*[events_of(spark, d, name) if t == "session_events" else unique_chunks(table(spark, d, t)) if t == "chunks" else table(spark, d, t) for t in tables])
 
     QUERIES[name] = query
     if sql:
@@ -131,12 +127,18 @@ _add("st2_evicted_events", lambda e: state.evicted_events(e, 200), None, "sessio
 _add("st4_flood_verdicts", lambda e: state.flood_verdicts(e, 3600), None, "session_events")
 _add("st5_resolved_errors", state.resolved_errors, None, "session_events")
 _add("st6_retry_loops", lambda e: state.retry_loops(e, 2), None, "session_events")
-_add("st7_carried_projects", state.carried_projects, None, "session_events")
+_add(
+    "st7_carried_projects", state.carried_projects,
+    E + """, k AS (SELECT session_id, id, nullif(project_dir, '') AS own, CASE WHEN attribution_confidence >= 0.9 THEN nullif(project_dir, '') END AS sure, CASE WHEN attribution_confidence >= 0.55 THEN nullif(project_dir, '') END AS likely FROM e WHERE session_id IS NOT NULL),
+    c AS (SELECT session_id, id, own, last_value(sure IGNORE NULLS) OVER w AS a, last_value(likely IGNORE NULLS) OVER w AS b FROM k WINDOW w AS (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT session_id, id, coalesce(own, a, b) AS project, own IS NULL AND coalesce(a, b) IS NOT NULL AS carried FROM c""",
+    "session_events",
+)
 
 # --- filters, order, store, lifecycle -------------------------------------------------------------------------------
 _add("f01_sources_like", lambda s: s.where(F.contains(F.lower("label"), F.lit("index:"))).select("id", "label"), "SELECT id, label FROM sources WHERE contains(lower(label), 'index:')", "sources")
 _add("f03_code_chunks", lambda c: c.where("content_type = 'code'").select("chunk_id", "title"), f"WITH {_C} SELECT chunk_id, title FROM c WHERE content_type = 'code'", "chunks")
-_add("f06_priority_events", lambda e: e.where("priority >= 3 and type = 'rule'").select("session_id", "id", "data"), E + " SELECT session_id, id, data FROM e WHERE priority >= 3 AND type = 'rule'", "session_events")
+_add("f06_priority_events", lambda e: e.where("priority >= 3 and category = 'file'").select("session_id", "id", "data"), E + " SELECT session_id, id, data FROM e WHERE priority >= 3 AND category = 'file'", "session_events")
 _add(
     "f07_event_search", lambda e: e.where("(project_dir = '' or project_dir is not null) and (data ilike '%token%' or category ilike '%token%')").select("id", "category", "data"),
     E + " SELECT id, category, data FROM e WHERE project_dir IS NOT NULL AND (data ILIKE '%token%' OR category ILIKE '%token%')", "session_events",
