@@ -136,6 +136,12 @@ def stem(word: str) -> str:
     return w
 
 
+def index_tokens(text: str, stemmed: bool = True) -> list[str]:
+    """Index tokens: small letters, no diacritics, runs of letters and digits, stems."""
+    words = plain_tokens(text)
+    return [stem(w) for w in words] if stemmed else words
+
+
 def distinct_in_order(words: Iterable[str]) -> list[str]:
     """Words whose lower case wasn't there before, in the spelling seen first."""
     seen: set[str] = set()

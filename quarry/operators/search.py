@@ -5,25 +5,47 @@ Queries: query_no LONG, text STRING. Chunks: chunk_id, source_id, title, content
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.words import STOPWORDS, most_edits, query_terms, tokens, trigram_terms
-from quarry.session import written
+from quarry.functions.words import STOPWORDS, index_tokens, most_edits, query_terms, trigram_terms
+from quarry.session import spread, written
 
-#: Saturation and length constants of the score; weights of title and content; constant of the fusion.
+# Saturation and length constants of the score, weights of title and content, constant of the fusion; weights and gap of the reranking.
 K1, B, TITLE, CONTENT, FUSION = 1.2, 0.75, 5.0, 1.0, 60
+TITLE_CODE, TITLE_PROSE, PHRASE, PHRASES, GAP = 0.6, 0.3, 0.5, 4, 30
 #: Distinct query terms that go to the tasks at once; more are searched in further passes.
-TERMS_AT_ONCE = 200_000
+TERMS_AT_ONCE = 50_000
+_INDEXED = "__index_tokens"
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
     """One row per chunk_id with empty strings for null texts; rows stored twice collapse."""
-    return chunks.where("chunk_id is not null").select("chunk_id", "source_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"), "content_type").distinct()
+    more = ["session_id"] if "session_id" in chunks.columns else []
+    return chunks.where("chunk_id is not null").select("chunk_id", "source_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"), "content_type", *more).distinct()
+
+
+def _tokens(stemmed: bool):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: index_tokens(t, stemmed))
+
+    return run
+
+
+def index(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
+    """The chunks, each once, with the index tokens of title (t) and content (c), written once; every operator here takes it in place of chunks."""
+    if _INDEXED in chunks.columns:
+        return chunks
+    tokens = _tokens(stemmed)
+    return written(spread(unique_chunks(chunks)).select("*", tokens("title").alias("t"), tokens("content").alias("c"), F.lit(stemmed).alias(_INDEXED)), "index")
 
 
 def _score(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
@@ -32,12 +54,19 @@ def _score(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> C
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _ranked(hits: DataFrame, terms: DataFrame, stats: DataFrame, chunks: int, mean: float, k: int) -> DataFrame:
-    """hits: term, chunk_id, tf, length; terms: query_no, term; stats: term, df. The k best chunks of each query, best first; ties by chunk_id."""
+def _ranked(hits: DataFrame, terms: DataFrame, stats: DataFrame, chunks: int, mean: float, k: int, every: bool, allowed: DataFrame | None) -> DataFrame:
+    """hits: term, chunk_id, tf, length; terms: query_no, term; stats: term, df. The k best chunks of each query, best first; ties by chunk_id.
+
+    every: only chunks with all terms of the query. allowed: chunk_id of the chunks that may be found; statistics don't change by it.
+    """
+    if allowed is not None:
+        hits = hits.join(allowed, "chunk_id", "left_semi")
     weighted = hits.join(stats, "term").withColumn("s", _score(F.col("tf"), F.col("df"), F.lit(float(chunks)), F.col("length"), F.lit(mean)))
-    scored = terms.join(weighted.select("term", "chunk_id", "s"), "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    scored = terms.join(weighted.select("term", "chunk_id", "s"), "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum("s"), 9).alias("score"), F.count("*").alias("n"))
+    if every:
+        scored = scored.join(terms.groupBy("query_no").agg(F.count("*").alias("n")), ["query_no", "n"])
     w = Window.partitionBy("query_no").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.select("query_no", "chunk_id", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
 def _totals(lengths: DataFrame) -> tuple[int, float]:
@@ -46,16 +75,18 @@ def _totals(lengths: DataFrame) -> tuple[int, float]:
     return n, max(1.0, total / max(1, n))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """query_no, chunk_id, score, rank: chunks by the score of index tokens in title (weight 5) and content (1).
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, every: bool = False, allowed: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+    """query_no, chunk_id, score, rank: chunks by the score of index tokens (stems without diacritics) in title (weight 5) and content (1).
 
-    A query term with inner punctuation is a phrase of consecutive tokens. Statistics are those of all chunks.
-    Queries without terms have no rows. Plan: terms of all queries are broadcast if small, chunks are read once, only
-    grams that are query terms leave the scan stage, and each query's best k are cut before the last sort.
+    A query term with inner punctuation is a phrase of consecutive tokens. every: all terms must occur. Statistics are those of
+    all chunks, also where only `allowed` ones may be found. Queries without terms have no rows. Plan: chunks are tokenised once
+    (see `index`), only grams that are query terms leave the stage, and each query's best k are cut before the last sort.
     """
-    terms = queries.select("query_no", F.explode(F.transform(query_terms("text"), lambda t: F.array_join(tokens(t), " "))).alias("term")).where("term <> ''").distinct()
+    tokens = _tokens(stemmed)
+    words = queries.select("query_no", F.explode(query_terms("text")).alias("word"))
+    terms = words.select("query_no", F.array_join(tokens("word"), " ").alias("term")).where("term <> ''").distinct()
     sizes = sorted(r[0] for r in terms.select(F.size(F.split("term", " "))).distinct().collect())
-    own = unique_chunks(chunks).select("chunk_id", tokens("title").alias("t"), tokens("content").alias("c")).withColumn("length", F.size("t") + F.size("c"))
+    own = index(chunks, stemmed).select("chunk_id", "t", "c").withColumn("length", F.size("t") + F.size("c"))
     n, mean = _totals(own)
     if not sizes:
         return terms.selectExpr("query_no", "0L chunk_id", "0D score", "0 rank").limit(0)
@@ -75,7 +106,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     hits = exploded.join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "length").agg(F.sum("w").alias("tf"))
     hits = written(hits, "hits")  # read twice: for the frequencies and for the scores
     stats = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    return _ranked(hits, terms, stats, n, mean, k)
+    return _ranked(hits, terms, stats, n, mean, k, every, allowed)
 
 
 def _substrings(terms: list[str]):
@@ -102,14 +133,14 @@ def _substrings(terms: list[str]):
     return run
 
 
-def trigram(queries: DataFrame, chunks: DataFrame, k: int = 10, at_once: int = TERMS_AT_ONCE) -> DataFrame:
+def trigram(queries: DataFrame, chunks: DataFrame, k: int = 10, every: bool = False, allowed: DataFrame | None = None, at_once: int = TERMS_AT_ONCE) -> DataFrame:
     """Like bm25, over substrings: a term occurs wherever its characters do; length is the number of trigrams.
 
     The terms of all queries go to the tasks in blocks of at most at_once; each pass reads every chunk once and shuffles only hits.
     """
     terms = queries.select("query_no", F.explode(trigram_terms("text")).alias("term")).distinct()
     wanted = terms.select("term").distinct()
-    own = unique_chunks(chunks).select(F.col("chunk_id").cast("long"), F.lower("title").alias("t"), F.lower("content").alias("c"))
+    own = (chunks if _INDEXED in chunks.columns else unique_chunks(chunks)).select(F.col("chunk_id").cast("long"), F.lower("title").alias("t"), F.lower("content").alias("c"))
     own = own.select("chunk_id", (F.greatest(F.length("t") - 2, F.lit(0)) + F.greatest(F.length("c") - 2, F.lit(0))).alias("length"), "t", "c")
     n, mean = _totals(own)
     blocks = max(1, -(-wanted.count() // at_once))
@@ -120,7 +151,7 @@ def trigram(queries: DataFrame, chunks: DataFrame, k: int = 10, at_once: int = T
         hits = part if hits is None else hits.unionByName(part)
     hits = written(hits, "hits")
     stats = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    return _ranked(hits, terms, stats, n, mean, k)
+    return _ranked(hits, terms, stats, n, mean, k, every, allowed)
 
 
 def fuse(first: DataFrame, second: DataFrame, chunks: DataFrame, sources: DataFrame, limit: int = 3) -> DataFrame:
@@ -128,7 +159,7 @@ def fuse(first: DataFrame, second: DataFrame, chunks: DataFrame, sources: DataFr
 
     query_no, chunk_id, label, title, score, rank; ties go to the row that came first.
     """
-    own = unique_chunks(chunks).join(sources.select(F.col("id").alias("source_id"), "label"), "source_id", "left")
+    own = (chunks if _INDEXED in chunks.columns else unique_chunks(chunks)).join(sources.select(F.col("id").alias("source_id"), "label"), "source_id", "left")
     lists = first.select("query_no", "chunk_id", "rank", F.lit(0).alias("list")).unionByName(second.select("query_no", "chunk_id", "rank", F.lit(1).alias("list")))
     rows = lists.join(own.select("chunk_id", F.coalesce("label", F.lit("")).alias("label"), "title"), "chunk_id")
     seen = F.col("list") * 1_000_000 + F.col("rank")
@@ -166,42 +197,35 @@ def corrected_queries(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return fixed.groupBy("query_no").agg(text.alias("text"), F.max(F.col("correction").isNotNull()).alias("changed")).where("changed").drop("changed")
 
 
-def positions(text: str, term: str) -> list[int]:
-    out, at = [], text.find(term)
-    while at >= 0:
-        out.append(at)
-        at = text.find(term, at + 1)
-    return out
-
+def closeness(text: str, terms: list[str], gap: int = GAP) -> tuple[int | None, int]:
+    """(width of the tightest window with all terms, occurrences of consecutive terms at most gap characters apart), None and 0 if a term is missing.
 
-def min_span(lists: list[list[int]]) -> int:
-    """Width of the tightest window that holds a position of each list: a sweep over all positions in order."""
-    if len(lists) < 2:
-        return 0
+    One merge of all places of all terms in order: the last place of each term gives the windows; a term's places wait, first come first served,
+    for a place of the term after it, until it is out of reach.
+    """
+    places: list[tuple[int, int]] = []
+    for i, t in enumerate(terms):
+        own = [(m.start(), i) for m in re.finditer(f"(?={re.escape(t)})", text)]
+        if not own:
+            return None, 0
+        places += own
     last: dict[int, int] = {}
-    best = None
-    for at, which in sorted((p, i) for i, ps in enumerate(lists) for p in ps):
-        last[which] = at
-        if len(last) == len(lists):
-            width = at - min(last.values())
-            best = width if best is None or width < best else best
-    return best if best is not None else 0
-
-
-def adjacent_pairs(lists: list[list[int]], terms: list[str], gap: int = 30) -> int:
-    """Occurrences of consecutive terms at most gap characters apart; a right occurrence serves one left one."""
-    total = 0
-    for left, right, term in zip(lists, lists[1:], terms):
-        free = iter(right)
-        nxt = next(free, None)
-        for p in left:
-            start = p + len(term)
-            while nxt is not None and nxt < start:
-                nxt = next(free, None)
-            if nxt is not None and nxt <= start + gap:
-                total += 1
-                nxt = next(free, None)
-    return total
+    waiting: list[deque[int]] = [deque() for _ in terms]
+    width, pairs = None, 0
+    for at, i in sorted(places):
+        last[i] = at
+        if len(last) == len(terms):
+            here = at - min(last.values())
+            width = here if width is None else min(width, here)
+        if i:
+            ends = waiting[i - 1]
+            while ends and ends[0] + gap < at:
+                ends.popleft()
+            if ends and ends[0] <= at:
+                ends.popleft()
+                pairs += 1
+        waiting[i].append(at + len(terms[i]))
+    return width, pairs
 
 
 def boost(query: str, title: str, content: str, content_type: str | None) -> float:
@@ -210,23 +234,19 @@ def boost(query: str, title: str, content: str, content_type: str | None) -> flo
     terms = [w for w in every if w not in STOPWORDS] or every
     if not terms:
         return 0.0
-    low = title.lower()
-    out = (0.6 if content_type == "code" else 0.3) * sum(t in low for t in terms) / len(terms)
-    if len(terms) >= 2:
-        text = content.lower()
-        lists = [positions(text, t) for t in terms]
-        if all(lists):
-            out += 1 / (1 + min_span(lists) / max(len(text), 1)) + 0.5 * min(1, adjacent_pairs(lists, terms) / 4)
-    return out
+    low, text = title.lower(), content.lower()
+    out = (TITLE_CODE if content_type == "code" else TITLE_PROSE) * sum(t in low for t in terms) / len(terms)
+    width, pairs = closeness(text, terms) if len(terms) > 1 else (None, 0)
+    return out if width is None else out + 1 / (1 + width / max(len(text), 1)) + PHRASE * min(1, pairs / PHRASES)
 
 
 def rerank(results: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """results with boost and the new rank within each query (the limit was applied before: only the order changes)."""
-    texts = unique_chunks(chunks).select("chunk_id", "content", "content_type")
+    texts = (chunks if _INDEXED in chunks.columns else unique_chunks(chunks)).select("chunk_id", "content", "content_type")
 
     @F.pandas_udf(T.DoubleType())
-    def boosts(q, t, c, k):  # noqa: ANN001, ANN202
-        return q.combine(t, lambda a, b: (a, b)).combine(c.combine(k, lambda a, b: (a, b)), lambda x, y: round(boost(x[0], x[1], y[0], y[1]), 9))
+    def boosts(q: pd.Series, t: pd.Series, c: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([round(boost(*row), 9) for row in zip(q, t, c, k)], dtype="float64")
 
     own = results.drop("content", "content_type").join(texts, "chunk_id").join(queries.select("query_no", "text"), "query_no")
     own = own.withColumn("boost", boosts("text", "title", "content", "content_type"))
@@ -234,32 +254,48 @@ def rerank(results: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFra
     return own.withColumn("place", F.row_number().over(w)).select("query_no", "chunk_id", "label", "title", "content", "text", "score", "boost", F.col("place").alias("rank"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, sources: DataFrame, vocabulary: DataFrame, limit: int = 3, source: str | None = None, exact_source: bool = False, content_type: str | None = None, sessions: list[str] | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, sources: DataFrame, vocabulary: DataFrame, limit: int = 3, source: str | None = None, exact_source: bool = False, content_type: str | None = None, sessions: list[str] | None = None, every: bool = False) -> DataFrame:
     """The whole cascade: fuse term and substring results, rerank; queries without a result try again with corrected words.
 
-    source: a part of the label (ASCII case ignored) or, with exact_source, the label; content_type: code or prose; sessions:
-    keep unattributed chunks and those of these sessions. Filters don't change the statistics' formula, and apply before the limit.
-    layer: rrf, or rrf-fuzzy for corrected queries.
+    source: a part of the label (ASCII case ignored) or, with exact_source, the label; content_type: code or prose; sessions: keep
+    unattributed chunks and those of these sessions; every: all terms must occur. Statistics are those of all chunks; what a filter
+    leaves out is left out before the limit. layer: rrf, or rrf-fuzzy for corrected queries. Chunks are made unique and tokenised once.
     """
-    own = chunks
+    own = index(chunks)
+    allowed = own
     if content_type:
-        own = own.where(F.col("content_type") == content_type)
+        allowed = allowed.where(F.col("content_type") == content_type)
     if sessions is not None:
-        own = own.where((F.coalesce("session_id", F.lit("")) == "") | F.col("session_id").isin(*sessions))
+        allowed = allowed.where((F.coalesce("session_id", F.lit("")) == "") | F.col("session_id").isin(*sessions))
     if source:
         match = F.col("label") == source if exact_source else F.contains(F.lower("label"), F.lit(source.lower()))
-        own = own.join(sources.where(match).select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        allowed = allowed.join(sources.where(match).select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    allowed = allowed.select("chunk_id") if allowed is not own else None
     fetch = max(2 * limit, 10)
 
     def one(q: DataFrame, layer: str) -> DataFrame:
-        fused = fuse(bm25(q, own, fetch), trigram(q, own, fetch), own, sources, limit)
+        fused = fuse(bm25(q, own, fetch, every, allowed), trigram(q, own, fetch, every, allowed), own, sources, limit)
         return rerank(fused, q, own).withColumn("layer", F.lit(layer))
 
     first = written(one(queries, "rrf"), "found")
     missed = queries.join(first.select("query_no").distinct(), "query_no", "left_anti")
-    if missed.isEmpty():
-        return first
-    return first.unionByName(one(corrected_queries(missed, vocabulary), "rrf-fuzzy"))
+    again = written(corrected_queries(missed, vocabulary), "corrected")
+    return first if again.isEmpty() else first.unionByName(one(again, "rrf-fuzzy"))
+
+
+def about(chunks: DataFrame, intent: str, k: int = 5) -> DataFrame:
+    """The chunks that bear most on an intent (all its terms, else any): chunk_id, score, rank. Texts under 5,000 characters need no search; callers show them whole."""
+    q = chunks.sparkSession.createDataFrame([(0, intent)], "query_no long, text string")
+    own = index(chunks)
+    first = bm25(q, own, k, True)
+    return (bm25(q, own, k) if first.isEmpty() else first).select("chunk_id", "score", "rank")
+
+
+def stale_sources(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """Sources whose file has changed since: newer than the index and of another hash. files: file_path, modified, content_hash; missing files keep their chunks."""
+    now = files.select("file_path", "modified", F.col("content_hash").alias("now_hash"))
+    rows = sources.where("file_path is not null").join(now, "file_path")
+    return rows.where((F.col("modified") > F.col("indexed_at")) & ~F.col("content_hash").eqNullSafe(F.col("now_hash"))).select("id", "label", "file_path")
 
 
 def distinctive_terms(chunks: DataFrame, most: int = 40) -> DataFrame:

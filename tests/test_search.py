@@ -30,9 +30,9 @@ def fts(corpus, tokenize):
     return con
 
 
-@pytest.mark.parametrize("kind,tokenize", [("bm25", "unicode61"), ("trigram", "trigram")])
+@pytest.mark.parametrize("kind,tokenize", [("bm25", "porter unicode61"), ("trigram", "trigram")])
 def test_scores_match_sqlite(spark, chunks, corpus, kind, tokenize):
-    texts = ["shard cache", "row-level ledger", "parser", "daemon daemon"]
+    texts = ["shard cache", "row-level ledger", "parser", "daemon daemon", "indexes caching tokens"]
     queries = spark.createDataFrame(list(enumerate(texts)), "query_no long, text string")
     got = {(r.query_no, r.chunk_id): r.score for r in getattr(s, kind)(queries, chunks, 1000).collect()}
     con = fts(corpus, tokenize)
@@ -42,6 +42,10 @@ def test_scores_match_sqlite(spark, chunks, corpus, kind, tokenize):
         assert {c for n, c in got if n == q} == set(want)
         for c, score in want.items():
             assert abs(got[q, c] - score) < 1e-4
+    every = {(r.query_no, r.chunk_id) for r in getattr(s, kind)(queries, chunks, 1000, True).collect()}
+    for q, text in enumerate(texts):
+        match = " AND ".join(f'"{w}"' for w in distinct_in_order(text.split()))
+        assert {c for n, c in every if n == q} == {r[0] for r in con.execute("select rowid from f where f match ?", (match,))}
 
 
 def test_stem_matches_sqlite():
@@ -81,13 +85,37 @@ def test_correct_is_exact(spark):
 
 def test_span_and_pairs():
     r = random.Random(1)
-    for _ in range(60):
-        lists = [sorted(r.sample(range(60), r.randint(1, 5))) for _ in range(r.randint(2, 3))]
-        assert s.min_span(lists) == min(max(c) - min(c) for c in itertools.product(*lists))
-    assert s.adjacent_pairs([[0, 4], [8]], ["foo", "bar"]) == 1
+    for _ in range(80):
+        terms = r.choice([["ab", "cd"], ["a", "bc", "d"]])
+        text = "".join(r.choices([*terms, ".", "..", " " * 9], k=r.randint(3, 25)))
+        lists = [[i for i in range(len(text)) if text.startswith(t, i)] for t in terms]
+        width, pairs = s.closeness(text, terms, 5)
+        if all(lists):
+            assert width == min(max(c) - min(c) for c in itertools.product(*lists))
+            want = 0
+            for left, right, t in zip(lists, lists[1:], terms):  # each left one takes the first free right one in reach
+                free = list(right)
+                for p in left:
+                    hit = next((q for q in free if p + len(t) <= q <= p + len(t) + 5), None)
+                    if hit is not None:
+                        want += 1
+                        free.remove(hit)
+            assert pairs == want
+        else:
+            assert (width, pairs) == (None, 0)
     assert s.boost("alpha beta", "", "alpha beta", None) > s.boost("alpha beta", "", "alpha " + "x" * 200 + " beta", None)
 
 
+def test_stems_and_diacritics(spark):
+    chunks = spark.createDataFrame([(1, 1, "", "he runs daily", "prose"), (2, 1, "", "a naïve reader", "prose"), (3, 1, "", "nothing", "prose")], "chunk_id long, source_id long, title string, content string, content_type string")
+    queries = spark.createDataFrame([(1, "runs"), (2, "NAIVE reading"), (3, "reader naive")], "query_no long, text string")
+    assert {(r.query_no, r.chunk_id) for r in s.bm25(queries, chunks).collect()} == {(1, 1), (2, 2), (3, 2)}
+    assert s.about(chunks, "naive readers").first().chunk_id == 2
+    files = spark.createDataFrame([("/a", "2025-01-02", "new"), ("/b", "2025-01-02", "same"), ("/c", "2024-01-01", "new")], "file_path string, modified string, content_hash string")
+    sources = spark.createDataFrame([(i, p, p, "2025-01-01", "same") for i, p in enumerate(("/a", "/b", "/c", "/d"))], "id long, label string, file_path string, indexed_at string, content_hash string")
+    assert [r.label for r in s.stale_sources(sources, files).collect()] == ["/a"]
+
+
 def test_cascade(spark):
     chunks = spark.createDataFrame([(1, 1, "Cache > Eviction", "the cache evicts cold rows", "prose", ""), (2, 1, "Daemon", "the daemon restarts", "prose", "s9"), (3, 2, "Parser", "def parse(): pass", "code", None), (4, None, None, None, None, None)], "chunk_id long, source_id long, title string, content string, content_type string, session_id string")
     sources = spark.createDataFrame([(1, "docs:A"), (2, "code:b")], "id long, label string")
@@ -98,3 +126,5 @@ def test_cascade(spark):
     assert s.search(queries.where("query_no = 1"), chunks, sources, vocabulary, source="CODE").count() == 0
     assert s.search(queries.where("query_no = 2"), chunks, sources, vocabulary, sessions=["other"]).count() == 0
     assert s.bm25(queries.limit(0), chunks).count() == 0
+    scores = [r.score for kind in (None, "prose") for r in s.search(queries.where("query_no = 1"), chunks, sources, vocabulary, 1, content_type=kind).collect()]
+    assert len(scores) == 2 and scores[0] == scores[1]
