@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import bucketed
+from quarry.session import bucketed, size_of
 from quarry.tables import normal_type, records
 
 #: Blocks that the types are spread over, by hash. Hundreds of types give tens of cells a block.
 BLOCKS = 8
+#: Bytes of records that one bucket of entities stands for, and the most buckets; each writes one file a block.
+BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 10_000
 
 
 def entity_features(
@@ -53,7 +55,7 @@ def entity_features(
         F.count("*").alias("n"), F.max("__at").alias("latest"), F.sum("__value").alias("total")
     )
     block_of = F.when(F.col("__kind").isNull(), -1).otherwise(F.pmod(F.xxhash64("__kind"), F.lit(blocks))).cast("int")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(spark.sparkContext.defaultParallelism, min(MOST_BUCKETS, size_of(events.select(entity, kind, at, value)) // BUCKET_BYTES))
     state = bucketed(state.withColumn("__block", block_of), "features", "__entity", buckets, "__block")
 
     totals = (F.sum("n").alias("n_records"), F.max("latest").alias("latest"), F.sum("total").alias("total"))

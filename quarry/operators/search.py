@@ -84,7 +84,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, every: bool = False
     """
     tokens = _tokens(stemmed)
     words = queries.select("query_no", F.explode(query_terms("text")).alias("word"))
-    terms = words.select("query_no", F.array_join(tokens("word"), " ").alias("term")).where("term <> ''").distinct()
+    terms = written(words.select("query_no", F.array_join(tokens("word"), " ").alias("term")).where("term <> ''").distinct(), "terms")
     sizes = sorted(r[0] for r in terms.select(F.size(F.split("term", " "))).distinct().collect())
     own = index(chunks, stemmed).select("chunk_id", "t", "c").withColumn("length", F.size("t") + F.size("c"))
     n, mean = _totals(own)
@@ -273,14 +273,15 @@ def search(queries: DataFrame, chunks: DataFrame, sources: DataFrame, vocabulary
     allowed = allowed.select("chunk_id") if allowed is not own else None
     fetch = max(2 * limit, 10)
 
-    def one(q: DataFrame, layer: str) -> DataFrame:
-        fused = fuse(bm25(q, own, fetch, every, allowed), trigram(q, own, fetch, every, allowed), own, sources, limit)
-        return rerank(fused, q, own).withColumn("layer", F.lit(layer))
-
-    first = written(one(queries, "rrf"), "found")
-    missed = queries.join(first.select("query_no").distinct(), "query_no", "left_anti")
-    again = written(corrected_queries(missed, vocabulary), "corrected")
-    return first if again.isEmpty() else first.unionByName(one(again, "rrf-fuzzy"))
+    # a query and its corrected form run in one pass; the corrected one counts where the other finds nothing
+    forms = queries.select((F.col("query_no") * 2).alias("query_no"), "text").unionByName(corrected_queries(queries, vocabulary).select((F.col("query_no") * 2 + 1).alias("query_no"), "text"))
+    forms = written(forms.repartition(1), "forms")
+    fused = fuse(bm25(forms, own, fetch, every, allowed), trigram(forms, own, fetch, every, allowed), own, sources, limit)
+    layer = F.pmod("query_no", F.lit(2))
+    first = F.min(layer).over(Window.partitionBy(F.floor(F.col("query_no") / 2)))
+    kept = fused.withColumn("first", first).where(layer == F.col("first")).drop("first")
+    found = rerank(kept, forms, own)
+    return found.withColumn("layer", F.when(layer == 0, "rrf").otherwise("rrf-fuzzy")).withColumn("query_no", F.floor(F.col("query_no") / 2))
 
 
 def about(chunks: DataFrame, intent: str, k: int = 5) -> DataFrame:
