@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import spread, written
+from quarry.tables import normal_type
 
 #: ASCII characters that are no letter or digit.
 _ASCII_DROP = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -160,11 +161,20 @@ def canonical(data: str) -> str:
             tokens = [t for t in (x.lstrip("-*>`'\"“”‘’«»()[]{}.,;:!?|…—–#&+~") for x in marked.split()) if t and bare(t)]
             if len(tokens) == n and all(map(_TOKEN.match, tokens)):
                 return "".join(sorted(map(bare, tokens)))
+            if fields := _listed(data):
+                return "".join(sorted(map(bare, fields)))
     return bare(data)
 
 
-def _normal_type(kind: str) -> str:
-    return kind.strip().lower().replace("-", "_")
+def _listed(data: str) -> list[str]:
+    """The fields of a text in which separators (comma, semicolon, bar, line break) stand between pairs whose values may hold several words; none if a part is no pair."""
+    parts = [p for p in _SEPARATED.findall(data) if bare(p)]
+    return parts if len(parts) > 1 and all(map(_FIELD.match, parts)) else []
+
+
+#: A part up to a separator that isn't in quotes; a name with its sign and something after it.
+_SEPARATED = re.compile(r"(?:\"[^\"\n]*\"|(?<!\w)'[^'\n]*'|`[^`\n]*`|[^,;|\n])+")
+_FIELD = re.compile(r"^\W*[^\W\d][\w.\-]*[\"'`”]?\s*[:=]\s*\S")
 
 
 _KEYS = "id long, h1 long, h2 long, proof long"
@@ -177,7 +187,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
             head = types.get(kind)
             if head is None:
-                head = types[kind] = _normal_type(kind).encode() + b"\x00"
+                head = types[kind] = kind.encode() + b"\x00"
             raw = head + canonical(data).encode("utf-8", "surrogatepass")
             d = xxhash.xxh3_128_digest(raw)
             ids.append(i)
@@ -193,7 +203,7 @@ def canonical_keys(records: DataFrame, key: str = "id", kind: str = "type", data
     A record is one id; redelivered rows collapse. Records with null id, type or data are copies of none and left out.
     Written once to the shared folder, since both the counts and the members are taken from it.
     """
-    rows = records.select(F.col(key).cast("long").alias("id"), F.col(kind).alias("kind"), F.col(data).alias("data")).dropna()
+    rows = records.select(F.col(key).cast("long").alias("id"), normal_type(kind).alias("kind"), F.col(data).alias("data")).dropna()
     return written(spread(rows).mapInArrow(_hashed, _KEYS).distinct(), "canonical")
 
 

@@ -61,3 +61,10 @@ def test_hot_set(spark):
     keys = spark.range(1, 250_001).selectExpr("id", "1L h1", "2L h2", "3L proof")
     r = f.members(keys).selectExpr("min(keep_id) a", "max(keep_id) b", "count(*) n").first()
     assert (r.a, r.b, r.n) == (1, 1, 250_000)
+
+
+def test_values_of_several_words():
+    same = ['a: "x y", b: z', "b: z | a: x y", "B = z;A='X  Y'", "b: z\na: x y"]
+    assert len({f.canonical(t) for t in same}) == 1
+    assert f.canonical("see this: a b, then that") != f.canonical("then that, see this: a b")
+    assert f.canonical("a: x y, b: z") != f.canonical("a: z, b: x y")
