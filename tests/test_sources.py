@@ -30,6 +30,7 @@ def test_transcripts(spark, tmp_path):
     lines = transcripts.lines(spark, str(tmp_path / "t.jsonl"))
     r = transcripts.message_usage(lines).first()
     assert (r.input, r.output, r.messages) == (9, 6, 3)
+    assert transcripts.message_cursor(lines).first().cursor == "u3"
     assert transcripts.message_usage(lines, "u1").first().messages == 1 and transcripts.message_usage(lines, "unknown").first().messages == 1
     roll = [{"type": "session_meta", "payload": {"model": "a"}}, {"type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 5, "output_tokens": 1, "reasoning_output_tokens": 2}}}}, {"type": "turn_context", "payload": {"model": "b"}}, {"type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 7, "output_tokens": 1}}}}]
     (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, roll)))
@@ -37,6 +38,33 @@ def test_transcripts(spark, tmp_path):
     assert got == {"a": (5, 3), "b": (7, 1)}
 
 
+def test_usage_records(spark, tmp_path):
+    record = lambda n, m="m": {"type": "usage.record", "model": m, "usage": {"inputOther": n, "output": 1, "inputCacheRead": 2}}
+    (tmp_path / "k.jsonl").write_text("\n".join([json.dumps(record(1)), '{"type": "other"}', "broken", json.dumps(record(10)), json.dumps(record(100, "n"))]))
+    lines = transcripts.lines(spark, str(tmp_path / "k.jsonl"))
+    assert [r.line_no for r in lines.orderBy("line_no").collect()] == [0, 1, 2, 3, 4]
+    read = lambda seen: ({r.model: r.input for r in transcripts.record_usage(lines, seen)[0].collect()}, transcripts.record_usage(lines, seen)[1])
+    assert read(0) == ({"m": 11, "n": 100}, 3) and read(1) == ({"m": 10, "n": 100}, 3) and read(3) == ({}, 3) and read(9) == ({"n": 100}, 3)
+    chat = [{"id": f"c{i}", "model": "q", "usageMetadata": {"promptTokenCount": 10**i, "candidatesTokenCount": 1, "thoughtsTokenCount": 2}} for i in range(3)]
+    (tmp_path / "q.jsonl").write_text("\n".join([*map(json.dumps, chat), "broken", ""]))
+    rows = transcripts.lines(spark, str(tmp_path / "q.jsonl"))
+    for after, want in ((None, (111, 9)), ("c0", (110, 6)), ("c2", None), ("gone", (100, 3))):
+        usage, cursor = transcripts.chat_usage(rows, after)
+        got = [(r.input, r.output) for r in usage.collect()]
+        assert got == ([want] if want else []) and cursor == "c2"
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = transcripts.lines(spark, str(tmp_path / "big.txt"))
+        got = [(r.line_no, r.value) for r in rows.orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i, f"line {i}") for i in range(5000)]
+
+
 def test_sqlite(spark, tmp_path):
     for i in range(2):
         con = sqlite3.connect(tmp_path / f"s{i}.db")
