@@ -114,7 +114,7 @@ class Finder:
     def bare(self, text: str, start: int, end: int, rate: float) -> bool:
         """Whether an unnatural string that nothing names is a key: mixed characters in one run or behind a vendor's tag, and no word before it that says otherwise."""
         value = text[start:end]
-        if not (any(map(str.isdigit, value)) and any(map(str.isupper, value))) or _PLACEHOLDER.match(value) or value.endswith((".test", ".example", ".invalid")):
+        if not (any(map(str.isdigit, value)) and any(map(str.isupper, value))) or _PLACEHOLDER.match(value) or _HEX_SUM.match(value) or value.endswith((".test", ".example", ".invalid")):
             return False
         if start and text[start - 1] in "\\:=&?(" or text[end : end + 1] in ("(", ":", "@", "\\"):
             return False

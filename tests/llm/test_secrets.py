@@ -82,3 +82,22 @@ UNCUED = [("dbPw = '", "x9Kd82mQpZ", "'"), ("user_pin = '", "x9Kd82mQpZ", "'"),
 def test_no_gate_before_a_rule(finder, before, secret, after):
     text = before + secret + after
     assert [text[a:b] for a, b, _ in finder.find(text)] == [secret]
+
+
+STRANGE = "9fK2mQ8sL1xV7tR4bN6yW3cJ5hD0"
+NATURAL = ["key: endpoint value: x", "token = parser_state", "api_key: session_events", "the new key is configuration_value", "secret: deployment"]
+
+
+def test_unnatural_strings_come_first():
+    """Without a naming word a string is judged by its characters per subword and what stands before it; without the rate, words pass as secrets."""
+    finder = Finder()
+    assert [f"we pasted {STRANGE} here"[a:b] for a, b, _ in finder.find(f"we pasted {STRANGE} here")] == [STRANGE]
+    for text in (f"commit {STRANGE} here", f"request id {STRANGE}", f"sha256-{STRANGE}", f"/srv/{STRANGE}/x", "we pasted ConfigurationValueOfTheSession2 here", f"etag: {STRANGE.lower()}"):
+        assert finder.find(text) == [], text
+    assert all(finder.find(t) == [] for t in NATURAL)
+    blind = Finder()
+    blind.known = blind._rate = lambda value: 1.0
+    assert sum(bool(blind.find(t)) for t in NATURAL) >= 3
+    deaf = Finder()
+    deaf.known = deaf._rate = lambda value: 4.0
+    assert deaf.find(f"we pasted {STRANGE} here") == [] and deaf.find(f"token: {STRANGE}") == []
