@@ -323,7 +323,7 @@ def overview(events: DataFrame, meta: DataFrame, sources: DataFrame, chunks: Dat
 
 def ratios(events: DataFrame) -> DataFrame:
     t = events.agg(
-        count_if(is_type("file_read")).alias("reads"), count_if(is_type("file_write", "file_edit")).alias("writes"), count_if(is_type("file_read", "file_glob", "file_search")).alias("explore"),
+        count_if(is_type("file_read")).alias("reads"), count_if(is_type("file_write")).alias("writes"), count_if(is_type("file_read", "file_glob", "file_search")).alias("explore"),
         count_if(is_type("mcp")).alias("sandbox"), count_if(~is_type(*CONTEXT_TYPES)).alias("calls"), count_if(is_type("error_tool")).alias("errors"),
     )
     c = F.col
@@ -410,12 +410,15 @@ def capped_ledger(events: DataFrame, above: int = 32 * 1024, to: int = 2 * 1024)
     return events.groupBy("session_id").agg(F.count("*").alias("calls"), F.coalesce(F.sum("bytes_returned"), F.lit(0)).alias("returned"), F.sum(F.when(raw > above, to).otherwise(raw)).alias("counterfactual")).withColumn("saved", F.col("counterfactual") - F.col("returned"))
 
 
-def real_usage(events: DataFrame, events_least: int = 100, projects_least: int = 5, chars_least: int = 20) -> DataFrame:
-    """Per source of records: records, projects, sessions, mean characters, and whether that is real use."""
+def real_usage(events: DataFrame, events_least: int = 100, projects_least: int = 5, chars_least: int = 50, days: int = 30) -> DataFrame:
+    """Per source of records: records, projects, sessions, mean characters, and whether that is real use: enough of each, and some within `days` of the log's last record."""
+    now = events.agg(F.max("created_at").alias("n")).scalar()
     t = events.groupBy(F.coalesce("source_hook", F.lit("")).alias("source")).agg(
-        F.count("*").alias("events"), F.count_distinct(F.nullif(F.col("project_dir"), F.lit(""))).alias("projects"), F.count_distinct("session_id").alias("sessions"), F.round(F.avg(F.length("data")), 4).alias("avg_chars")
+        F.count("*").alias("events"), F.count_distinct(F.nullif(F.col("project_dir"), F.lit(""))).alias("projects"), F.count_distinct("session_id").alias("sessions"), F.round(F.avg(F.length("data")), 4).alias("avg_chars"), F.max("created_at").alias("last")
     )
-    return t.withColumn("real", (F.col("events") >= events_least) & (F.col("projects") >= projects_least) & (F.col("avg_chars") >= chars_least))
+    recent = F.coalesce(F.col("last") >= now - F.make_dt_interval(F.lit(days)), F.lit(False))
+    real = (F.col("events") >= events_least) & (F.col("projects") >= projects_least) & (F.col("avg_chars") >= chars_least) & recent
+    return t.withColumn("real", real).drop("last")
 
 
 def kept_out(events: DataFrame) -> DataFrame:

@@ -245,3 +245,28 @@ def format_minutes(m: Column) -> Column:
 def format_count(n: Column) -> Column:
     """`950`, `1.2K`, `3.4M`."""
     return F.when(n < 1000, n.cast("long").cast("string")).when(n < 1_000_000, F.concat(one_decimal(n / 1000), F.lit("K"))).otherwise(F.concat(one_decimal(n / 1_000_000), F.lit("M")))
+
+
+# --- messages -------------------------------------------------------------------------------------------------------
+# How messages of a kind begin or what they have.
+ROLE_STARTS = r"(?i)^(?:you are|act as|behave as|take the role of|as an? \w+,|always|never|from now on)\b"
+BLOCKER_MARKS = r"(?i)\b(?:blocked|stuck|can'?t proceed|does ?n[o']t work|not working|fails?|failing|error:|exception)\b"
+SOLVED_MARKS = r"[✓✔✅]|(?i)\b(?:works now|fixed|solved|resolved)\b"
+
+
+def message_kinds(message: str) -> Column:
+    """The kinds of a message, in this order: plan, decision, role, investigate or implement, goal, blocker or blocker_resolved, data (over 1,024 characters)."""
+    t = F.trim(message)
+    n = F.length(t)
+    solved = F.rlike(t, F.lit(SOLVED_MARKS))
+    kinds = [
+        (F.rlike(t, F.lit(r"^/plan\b")), F.lit("plan")), (looks_like_decision(message), F.lit("decision")), (F.rlike(t, F.lit(ROLE_STARTS)) & n.between(8, 120), F.lit("role")), (intent(message).isNotNull(), intent(message)),
+        (F.rlike(t, F.lit(r"(?i)^goal\s*:")), F.lit("goal")), (solved, F.lit("blocker_resolved")), (~solved & F.rlike(t, F.lit(BLOCKER_MARKS)), F.lit("blocker")), (n > 1024, F.lit("data")),
+    ]
+    return F.filter(F.array(*[F.when(has, kind) for has, kind in kinds]), lambda k: k.isNotNull())
+
+
+def numbered_references(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ref: distinct numbers behind a `#` that no letter, digit or `_` precedes."""
+    refs = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?<!\w)#(\d{1,9})(?!\w)"), F.lit(1)))
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(refs).alias("ref"))

@@ -40,8 +40,9 @@ def byte_scopes(events: DataFrame) -> DataFrame:
 
 def current_leg(events: DataFrame, start: str = "session_start") -> DataFrame:
     """Per session: records before and since its last start record (all since, if it has none)."""
-    begun = F.coalesce(F.max(F.when(F.col("type") == start, F.col("id"))).over(Window.partitionBy("session_id")), F.lit(-1))
-    return events.select("session_id", (F.col("id") >= begun).alias("now")).groupBy("session_id").agg(F.sum(F.when(F.col("now"), 1).otherwise(0)).alias("since"), F.sum(F.when(F.col("now"), 0).otherwise(1)).alias("before"))
+    last = events.groupBy("session_id").agg(F.max(F.when(F.col("type") == start, F.col("id"))).alias("begun"))
+    now = F.col("id") >= F.coalesce("begun", F.lit(-1))
+    return events.select("session_id", "id").join(last, "session_id").groupBy("session_id").agg(F.sum(F.when(now, 1).otherwise(0)).alias("since"), F.sum(F.when(now, 0).otherwise(1)).alias("before"))
 
 
 def line_statistics(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ READS = {
     "a26_burst_summary": "session_id type created_at",
     "a26_global_bursts": "type created_at",
     "a18_overview": "",
-    "a21_ratios": "type data",
+    "a21_ratios": "type",
     "a34_error_resolution": "type category",
     "a35_delegation": "type",
     "a36_governance": "type",
@@ -50,7 +50,7 @@ READS = {
     "a40_scores": "session_id type category data created_at",
     "a09_savings": "type bytes_avoided bytes_returned",
     "a05_ledger": "session_id bytes_avoided bytes_returned",
-    "a15_real_usage": "session_id data project_dir source_hook",
+    "a15_real_usage": "session_id data project_dir source_hook created_at",
     "a14_kept_out": "session_id bytes_avoided bytes_returned",
     "e02_working_directory": "data",
     "e04_git": "data",

@@ -174,7 +174,7 @@ def _sum(cond: str) -> str:
 
 _add(
     "a21_ratios", d.ratios,
-    f""", t AS (SELECT {_sum("type = 'file_read'")} AS reads, {_sum("type IN ('file_write', 'file_edit')")} AS writes, {_sum("type IN ('file_read', 'file_glob', 'file_search')")} AS explore, {_sum("type = 'mcp'")} AS sandbox,
+    f""", t AS (SELECT {_sum("type = 'file_read'")} AS reads, {_sum("type = 'file_write'")} AS writes, {_sum("type IN ('file_read', 'file_glob', 'file_search')")} AS explore, {_sum("type = 'mcp'")} AS sandbox,
       {_sum(f"type NOT IN ({_context})")} AS calls, {_sum("type = 'error_tool'")} AS errors FROM e)
     SELECT *, {_pct('reads', 'writes', '1.0', 1, 'reads')} AS read_write, {_pct('explore', 'explore + writes')} AS explore_pct, {_pct('sandbox', 'calls')} AS sandbox_pct, {_pct('errors', 'calls')} AS error_pct FROM t""",
 )
@@ -226,8 +226,8 @@ _add(
 )
 _add(
     "a15_real_usage", d.real_usage,
-    """, t AS (SELECT coalesce(source_hook, '') AS source, count(*) AS events, count(DISTINCT nullif(project_dir, '')) AS projects, count(DISTINCT session_id) AS sessions, round(avg(length(data)), 4) AS avg_chars FROM e GROUP BY 1)
-    SELECT *, events >= 100 AND projects >= 5 AND avg_chars >= 20 AS real FROM t""",
+    """, t AS (SELECT coalesce(source_hook, '') AS source, count(*) AS events, count(DISTINCT nullif(project_dir, '')) AS projects, count(DISTINCT session_id) AS sessions, round(avg(length(data)), 4) AS avg_chars, max(created_at) AS last FROM e GROUP BY 1)
+    SELECT source, events, projects, sessions, avg_chars, events >= 100 AND projects >= 5 AND avg_chars >= 50 AND coalesce(last >= (SELECT max(created_at) FROM e) - INTERVAL 30 DAY, false) AS real FROM t""",
 )
 _add(
     "a14_kept_out", d.kept_out,

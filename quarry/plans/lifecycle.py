@@ -167,3 +167,17 @@ QUERIES["x14_formats"] = lambda spark, sf: d.session_durations(table(spark, sf,
 ORACLE["x14_formats"] = f"""WITH t AS (SELECT session_id, CAST(floor({_up('(epoch_us(last_event_at) - epoch_us(started_at)) / 6e7', 1)}) AS BIGINT) AS m, event_count * 97 AS n, event_count * 1000 AS b FROM session_meta WHERE started_at IS NOT NULL AND last_event_at IS NOT NULL)
 SELECT session_id, CASE WHEN m < 60 THEN m || 'm' ELSE (m // 60) || 'h ' || (m % 60) || 'm' END AS duration, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN format('{{:.1f}}K', floor(n / 1000 * 10 + 0.5) / 10) ELSE format('{{:.1f}}M', floor(n / 1000000 * 10 + 0.5) / 10) END AS events,
   CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{{:.1f}} KB', floor(b / 1024 * 10 + 0.5) / 10) ELSE format('{{:.1f}} MB', floor(b / 1048576 * 10 + 0.5) / 10) END AS size FROM t"""
+
+
+def _re(p: str) -> str:
+    return p.replace("'", "''")
+
+
+QUERIES["e10_kinds"] = lambda spark, sf: table(spark, sf, "documents").where("text is not null").select(F.explode(x.message_kinds("text")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+ORACLE["e10_kinds"] = f"""WITH t AS (SELECT trim(text) AS t FROM documents WHERE text IS NOT NULL), k AS (SELECT t, regexp_matches(t, '{_re(x.SOLVED_MARKS).replace("(?i)", "").replace("works now|fixed", "(?i:works now|fixed").replace("resolved)", "resolved))")}') AS solved FROM t),
+ u AS (SELECT unnest(list_filter([CASE WHEN regexp_matches(t, '^/plan\\b') THEN 'plan' END, CASE WHEN regexp_matches(t, '[,;，；、،]') AND regexp_matches(t, '\\p{{L}}') AND NOT regexp_matches(t, '[?？؟¿]') AND length(t) BETWEEN 15 AND 500 THEN 'decision' END,
+   CASE WHEN regexp_matches(t, '{_re(x.ROLE_STARTS)}') AND length(t) BETWEEN 8 AND 120 THEN 'role' END, CASE WHEN regexp_matches(t, '[?？؟¿]') THEN 'investigate' WHEN length(t) > 0 AND length(t) < 60 AND regexp_matches(t, '\\p{{L}}') THEN 'implement' END,
+   CASE WHEN regexp_matches(t, '(?i)^goal\\s*:') THEN 'goal' END, CASE WHEN solved THEN 'blocker_resolved' END, CASE WHEN NOT solved AND regexp_matches(t, '{_re(x.BLOCKER_MARKS)}') THEN 'blocker' END, CASE WHEN length(t) > 1024 THEN 'data' END], lambda v: v IS NOT NULL)) AS kind FROM k)
+SELECT kind, count(*) AS n FROM u GROUP BY 1"""
+QUERIES["x16_numbers"] = lambda spark, sf: x.numbered_references(table(spark, sf, "chunks").select("chunk_id", "content").distinct(), "chunk_id", "content")
+ORACLE["x16_numbers"] = r"SELECT DISTINCT chunk_id AS key, unnest(regexp_extract_all(content, '(?:^|\W)#(\d{1,9})\b', 1)) AS ref FROM chunks WHERE content IS NOT NULL AND chunk_id IS NOT NULL"

@@ -32,7 +32,13 @@ def read_folder(spark: SparkSession, folder: str, endings: tuple[str, ...] = END
     keep: Column = F.lower(F.regexp_extract(relative, r"\.([^./]+)$", 1)).isin(*endings) & (F.size(F.split(relative, "/")) <= depth + 1)
     for g in exclude:
         keep = keep & ~F.rlike(relative, F.lit(glob_pattern(g)))
-    large = F.col("length") > cap
-    return files.where(keep).select(
-        "path", F.concat(F.lit("file:"), relative).alias("label"), F.when(~large, F.decode("content", "UTF-8")).alias("text"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_hash"), F.when(large, "over the cap").alias("error")
-    )
+    label, kept = F.concat(F.lit("file:"), relative).alias("label"), files.where(keep)
+    small = kept.where(F.col("length") <= cap).select("path", label, F.decode("content", "UTF-8").alias("text"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("string").alias("error"))
+    # of larger files only what the file system knows is asked for, so their bytes are never read
+    large = kept.where(F.col("length") > cap).select("path", label, F.lit(None).cast("string").alias("text"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("content_hash"), F.lit("over the cap").alias("error"))
+    return small.unionByName(large)
+
+
+def folder_counts(files: DataFrame) -> DataFrame:
+    """Files read, files over the cap, and bytes of a folder as read_folder gives it, in one row."""
+    return files.agg(F.count_if(F.col("error").isNull()).alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("capped"), F.count("*").alias("seen"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))

@@ -39,9 +39,14 @@ def purged(events: DataFrame, gone: DataFrame, key: str = "session_id") -> DataF
     return events.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def shard_key(path: Column) -> Column:
-    """16 hex digits by which a path's records are kept: separators made equal, no slash at the end."""
-    return F.left(F.sha2(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+$", ""), 256), F.lit(16))
+def shard_key(path: Column, suffix: Column | None = None, fold: bool = False) -> Column:
+    """16 hex digits by which a path's records are kept: separators made equal, no slash at the end; `__suffix` behind them names a worktree.
+
+    fold: letter case doesn't count, as on file systems that ignore it.
+    """
+    clean = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+$", "")
+    key = F.left(F.sha2(F.lower(clean) if fold else clean, 256), F.lit(16))
+    return key if suffix is None else F.concat(key, F.when(F.coalesce(suffix, F.lit("")) != "", F.concat(F.lit("__"), suffix)).otherwise(""))
 
 
 def byte_budget(rows: DataFrame, group: str, order: list[Column], text: str, budget: int) -> DataFrame:

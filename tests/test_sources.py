@@ -17,6 +17,8 @@ def test_folder(spark, tmp_path):
     (tmp_path / "sub" / "d.txt").write_text("y" * 50)
     got = {r.label: r for r in files.read_folder(spark, str(tmp_path), cap=40).collect()}
     assert set(got) == {"file:a.md", "file:sub/d.txt"} and got["file:a.md"].text == "# Ü" and got["file:sub/d.txt"].error and got["file:sub/d.txt"].text is None
+    c = files.folder_counts(files.read_folder(spark, str(tmp_path), cap=40)).first()
+    assert (c.indexed, c.capped, c.seen) == (1, 1, 2)
     import re
 
     assert re.search(files.glob_pattern("src/**/x*.py"), "src/a/b/xy.py") and not re.search(files.glob_pattern("src/*.py"), "src/a/b.py") and re.search(files.glob_pattern("dist"), "a/dist/b")

@@ -172,3 +172,15 @@ def test_rows_by_hand(spark):
     assert {r.key: r.value for r in l.catalog_lookup(asked, "k", prices, "n", "v").collect()} == {"m-1": 5, " Shop/M-1-preview": 5, "m-2": 3, "z": None}
     numbers = spark.createDataFrame([(-1.0,), (None,), (float("nan"),), (2.7,)], "x double")
     assert [r.c for r in numbers.select(l.clamped(F.col("x")).alias("c")).collect()] == [0, 0, 0, 2]
+
+
+def test_shard_keys(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.sources.store import shard_key
+
+    df = spark.createDataFrame([("/A/b", "w1"), ("/a/b/", None), ("\\a\\b", "")], "p string, s string")
+    plain = [r[0] for r in df.select(shard_key(F.col("p"))).collect()]
+    assert plain[0] != plain[1] == plain[2] and all(len(k) == 16 for k in plain)
+    folded = [r[0] for r in df.select(shard_key(F.col("p"), F.col("s"), True)).collect()]
+    assert folded[0] == folded[1] + "__w1" and folded[1] == folded[2]
