@@ -19,7 +19,7 @@ import numpy as np
 from quarry.llm.markup import _DISPLAY, _ELEMENTS, _MATH_INSIDE, _PAREN, KINDS, MODEL, NUMBERS, ROLES, TAGS, WORDS, BiLSTM, Leaves, _sigmoid, between, blanked, comments, templates
 
 #: Texts of the grammar and stored chunks that training reads.
-TEXTS, ROWS = 12_000, 4_000
+TEXTS, ROWS = 20_000, 4_000
 Line = tuple[str, set[str], str]
 
 # --- labelling patterns: kinds of the leaves of stored chunks, for training only --------------------------------------
