@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.words import STOPWORDS, query_terms, vocabulary_words
+from quarry.functions.words import SPECIAL, STOPWORDS, query_terms, vocabulary_words
 from quarry.operators import chunking, extract, state
 from quarry.operators.search import unique_chunks
 from quarry.plans.dashboard import E, events_of
@@ -119,7 +119,14 @@ _add(
     f"WITH {_C}, x AS (SELECT DISTINCT chunk_id, unnest(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_-]+')) AS word FROM c) SELECT word, count(*) AS chunks FROM x WHERE length(word) >= 3 AND word NOT IN ({', '.join(repr(w) for w in sorted(STOPWORDS))}) GROUP BY 1",
     "chunks",
 )
-_add("x01_query_terms", lambda c: c.select("chunk_id", F.array_join(query_terms("title"), " ").alias("terms")), None, "chunks")
+_stop = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
+_signs = "'" + SPECIAL.replace("'", "''") + "'"
+_add(
+    "x01_query_terms", lambda c: c.select("chunk_id", F.array_join(F.array_sort(query_terms("title")), " ").alias("terms")),
+    f"""WITH {_C}, q AS (SELECT DISTINCT chunk_id, list_distinct(list_filter(regexp_split_to_array(translate(lower(title), {_signs}, '{" " * len(SPECIAL)}'), '\\s+'), lambda x: x <> '' AND x NOT IN ('and', 'or', 'not', 'near'))) AS w FROM c)
+    SELECT chunk_id, array_to_string(list_sort(CASE WHEN len(list_filter(w, lambda x: x NOT IN ({_stop}))) > 0 THEN list_filter(w, lambda x: x NOT IN ({_stop})) ELSE w END), ' ') AS terms FROM q""",
+    "chunks",
+)
 
 # --- order-dependent ------------------------------------------------------------------------------------------------
 _add("st1_stored_events", state.stored_events, None, "session_events")
