@@ -98,8 +98,10 @@ _TRIGRAM = f"""
  tq0 AS (SELECT DISTINCT chunk_id AS query_no, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[''"(){{}}\\[\\]*:^~`]', '', 'g'), '\\s+'), lambda x: length(x) >= 3 AND x NOT IN ('and', 'or', 'not', 'near'))) AS w FROM chunks WHERE chunk_id % 50 = 0 AND title IS NOT NULL),
  tterms AS (SELECT DISTINCT query_no, unnest(CASE WHEN len(list_filter(w, lambda x: x NOT IN ({_STOP}))) > 0 THEN list_filter(w, lambda x: x NOT IN ({_STOP})) ELSE w END) AS term FROM tq0),
  tk AS (SELECT chunk_id, lower(title) AS t, lower(content) AS b, greatest(length(title) - 2, 0) + greatest(length(content) - 2, 0) AS length FROM c),
- th AS (SELECT term, chunk_id, length, (5.0::DOUBLE * len(list_filter(range(1, length(t) - length(term) + 2), lambda i: substr(t, i, length(term)) = term)) + len(list_filter(range(1, length(b) - length(term) + 2), lambda i: substr(b, i, length(term)) = term))) AS tf
-        FROM (SELECT DISTINCT term FROM tterms) x JOIN tk ON contains(t, term) OR contains(b, term)),
+ tx AS (SELECT term, len(list_filter(range(1, length(term)), lambda k: substr(term, 1, k) = substr(term, length(term) - k + 1))) > 0 AS laps FROM (SELECT DISTINCT term FROM tterms)),
+ th AS (SELECT term, chunk_id, length, CASE WHEN laps THEN 5.0::DOUBLE * len(list_filter(range(1, length(t) - length(term) + 2), lambda i: substr(t, i, length(term)) = term)) + len(list_filter(range(1, length(b) - length(term) + 2), lambda i: substr(b, i, length(term)) = term))
+          ELSE 5.0::DOUBLE * ((length(t) - length(replace(t, term, ''))) // length(term)) + (length(b) - length(replace(b, term, ''))) // length(term) END AS tf
+        FROM tx JOIN tk ON contains(t, term) OR contains(b, term)),
  tst AS (SELECT term, count(*) AS df FROM th GROUP BY 1),
  ttot AS (SELECT count(*) AS n, avg(length) AS mean FROM tk),
  tsc AS (SELECT query_no, chunk_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
