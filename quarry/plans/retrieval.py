@@ -41,13 +41,14 @@ def r02_trigram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r03_fusion(spark: SparkSession, d: str) -> DataFrame:
-    c, q = s.index(table(spark, d, "chunks")), chosen(table(spark, d, "chunks"))
+    c = table(spark, d, "chunks")
+    q = chosen(c)
     return s.fuse(s.bm25(q, c), s.trigram(q, c), c, table(spark, d, "sources"))
 
 
 def r03_unstemmed(spark: SparkSession, d: str) -> DataFrame:
-    c = s.index(table(spark, d, "chunks"), False)
-    q = chosen(table(spark, d, "chunks"))
+    c = table(spark, d, "chunks")
+    q = chosen(c)
     fused = s.fuse(s.bm25(q, c, stemmed=False), s.trigram(q, c), c, table(spark, d, "sources"))
     return fused.select("query_no", "label", "title", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 

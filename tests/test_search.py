@@ -128,3 +128,41 @@ def test_cascade(spark):
     assert s.bm25(queries.limit(0), chunks).count() == 0
     scores = [r.score for kind in (None, "prose") for r in s.search(queries.where("query_no = 1"), chunks, sources, vocabulary, 1, content_type=kind).collect()]
     assert len(scores) == 2 and scores[0] == scores[1]
+
+
+def shuffled(spark):
+    """Records written to shuffles so far."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """600 queries that all meet each of 1,500 chunks, of which a tenth are stored twice."""
+    chunks = spark.range(1500).selectExpr("id chunk_id", "id % 7 source_id", "concat('T', id) title", "repeat('alpha beta gamma ', cast(id % 11 + 1 as int)) content", "'prose' content_type")
+    queries = spark.range(600).selectExpr("id query_no", "concat('alpha beta t', id) text")
+    return queries, chunks.unionByName(chunks.where("chunk_id % 10 = 0"))
+
+
+RANKED = {
+    "r01_bm25": lambda q, c, _: s.bm25(q, c),
+}
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_shuffles_no_query_times_chunk(spark, many, name):
+    queries, chunks = many
+    before = shuffled(spark)
+    rows = RANKED[name](queries, chunks, spark.createDataFrame([(i, f"s{i}") for i in range(7)], "id long, label string")).collect()
+    assert len({r.query_no for r in rows}) == 600
+    assert shuffled(spark) - before < 200_000  # pairs of query and chunk: 900,000 and more
+
+
+def test_blocks_ties_and_rows_stored_twice(spark, many):
+    queries, chunks = many
+    whole = [tuple(r) for r in s.bm25(queries.limit(40), chunks, 5).orderBy("query_no", "rank").collect()]
+    assert whole == [tuple(r) for r in s.bm25(queries.limit(40), chunks.distinct(), 5, at_once=7).orderBy("query_no", "rank").collect()]
+    ties = s.bm25(queries.limit(1).selectExpr("query_no", "'gamma' text"), chunks.selectExpr("chunk_id", "source_id", "'' title", "'gamma x' content", "content_type"), 4)
+    assert [r.chunk_id for r in ties.orderBy("rank").collect()] == [0, 1, 2, 3]
