@@ -148,6 +148,7 @@ def many(spark):
 
 RANKED = {
     "r01_bm25": lambda q, c, _: s.bm25(q, c),
+    "r01_unstemmed": lambda q, c, _: s.bm25(q, c, stemmed=False),
 }
 
 
