@@ -150,6 +150,7 @@ RANKED = {
     "r01_bm25": lambda q, c, _: s.bm25(q, c),
     "r01_unstemmed": lambda q, c, _: s.bm25(q, c, stemmed=False),
     "r06_search": lambda q, c, sources: s.search(q, c, sources, q.selectExpr("'alpha' word")),
+    "r02_trigram": lambda q, c, _: s.trigram(q, c),
 }
 
 
