@@ -151,6 +151,7 @@ RANKED = {
     "r01_unstemmed": lambda q, c, _: s.bm25(q, c, stemmed=False),
     "r06_search": lambda q, c, sources: s.search(q, c, sources, q.selectExpr("'alpha' word")),
     "r02_trigram": lambda q, c, _: s.trigram(q, c),
+    "r03_unstemmed": lambda q, c, sources: s.fuse(s.bm25(q, c, stemmed=False), s.trigram(q, c), c, sources),
 }
 
 
