@@ -153,6 +153,7 @@ RANKED = {
     "r02_trigram": lambda q, c, _: s.trigram(q, c),
     "r03_unstemmed": lambda q, c, sources: s.fuse(s.bm25(q, c, stemmed=False), s.trigram(q, c), c, sources),
     "r01_every_term": lambda q, c, _: s.bm25(q, c, every=True, stemmed=False),
+    "r03_fusion": lambda q, c, sources: s.fuse(s.bm25(q, c), s.trigram(q, c), c, sources),
 }
 
 
