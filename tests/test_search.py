@@ -6,6 +6,7 @@ import sqlite3
 
 import pytest
 
+from quarry.functions.snippets import snippets
 from quarry.functions.words import distinct_in_order, plain_tokens, stem
 from quarry.operators import search as s
 
@@ -154,6 +155,7 @@ RANKED = {
     "r03_unstemmed": lambda q, c, sources: s.fuse(s.bm25(q, c, stemmed=False), s.trigram(q, c), c, sources),
     "r01_every_term": lambda q, c, _: s.bm25(q, c, every=True, stemmed=False),
     "r03_fusion": lambda q, c, sources: s.fuse(s.bm25(q, c), s.trigram(q, c), c, sources),
+    "x11_snippets": lambda q, c, sources: s.search(q, c, sources, q.selectExpr("'alpha' word")).select("query_no", snippets("content", "text", 600)),
 }
 
 
